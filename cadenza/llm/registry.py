@@ -108,8 +108,8 @@ w AS (SELECT *, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAS
 v AS (SELECT *, most / weight AS lim FROM w),
 u AS (SELECT *, sum(most) OVER o - most AS below, sum(weight) OVER () - sum(weight) OVER o + weight AS rest, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM v WINDOW o AS (ORDER BY lim, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT *, (total - below) / rest AS level FROM u),
-f AS (SELECT level AS lambda FROM l WHERE level <= lim ORDER BY lim, source NULLS LAST LIMIT 1),
-t AS (SELECT source, source_size, least(most, coalesce(weight * (SELECT lambda FROM f), most)) AS target FROM l),
+f AS (SELECT level AS common FROM l WHERE level <= lim ORDER BY lim, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, least(most, coalesce(weight * (SELECT common FROM f), most)) AS target FROM l),
 k AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size END AS step,
   CAST(('0x' || substr(md5('20/' || coalesce(d.source, '')), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS start,
   row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) AS r FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
