@@ -1,11 +1,225 @@
-"""Registered queries over the test tables."""
+"""Registered queries over the test tables, and SQL that states their results."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import functions as fn
+from ..operators import frames as fr
+from ..operators import kernels as kn
+from ..operators import music as mu
+from ..sources import frames, notes, table
+from .sql import SQL
 
 FLAGSHIP = "voiced_runs"
+LAGS = range(5, 60, 5)
+
+
+def _nine(df: DataFrame, *doubles: str) -> DataFrame:
+    """Doubles to nine digits, so that sums in another order agree."""
+    return df.withColumns({c: F.round(c, 9) for c in doubles})
+
+
+def _typed(df: DataFrame, kinds: str) -> DataFrame:
+    return df.select(*(F.col(c).cast(t).alias(c) for c, t in (x.split() for x in kinds.split(", "))))
+
+
+def voiced_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(fr.voiced_runs(frames(spark, d)), "rec long, run_start long, run_end long, n long")
+
+
+def pitch_scale(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", (F.col("value") - 50).alias("hz"))
+    midi = fn.hz_to_midi(F.col("hz"))
+    return e.select("event_id", F.round(midi, 9).alias("midi"), F.round(fn.midi_to_hz(midi), 9).alias("hz"))
+
+
+def gated(spark: SparkSession, d: str) -> DataFrame:
+    return fr.gate(frames(spark, d), 0.1, 60, 90).select("rec", "frame", "midi")
+
+
+def normalized_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _nine(fr.normalize_confidence(frames(spark, d)).select("rec", "frame", "conf"), "conf")
+
+
+def jump_gate(spark: SparkSession, d: str) -> DataFrame:
+    return fr.jump_gate(frames(spark, d)).select("rec", "frame", "midi")
+
+
+def rolling_median(spark: SparkSession, d: str) -> DataFrame:
+    return fr.rolling_median(frames(spark, d), 4).select("rec", "frame", "median")
+
+
+def octave_correction(spark: SparkSession, d: str) -> DataFrame:
+    return _nine(fr.octave_correction(frames(spark, d), 6, passes=1).select("rec", "frame", "midi", "conf"), "conf")
+
+
+def fill_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return _nine(fr.fill_gaps(frames(spark, d), near=8.0).select("rec", "frame", "midi", "conf"), "midi", "conf")
+
+
+def note_features(spark: SparkSession, d: str) -> DataFrame:
+    return _nine(_typed(fr.note_features(frames(spark, d)), "rec long, run_start long, run_end long, pitch double, spread_cents double, conf double"), "pitch", "spread_cents", "conf")
+
+
+def presence(spark: SparkSession, d: str) -> DataFrame:
+    return _nine(_typed(fr.presence(frames(spark, d)), "rec long, modal_pitch int, modal_share double, iqr double, voiced_fraction double"), "modal_share", "iqr", "voiced_fraction")
+
+
+def repetition(spark: SparkSession, d: str) -> DataFrame:
+    found = fr.repetition(fr.lag_similarity(frames(spark, d), LAGS, least=10))
+    return _nine(_typed(found, "rec long, lag int, similarity double, baseline double, excess double"), "similarity", "baseline", "excess")
+
+
+def quantized(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(mu.quantize(notes(spark, d)), "rec long, seq long, q long, q_dur long")
+
+
+def nearest_duration(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", fn.nearest_duration(F.col("value") / 100).alias("dur"))
+
+
+def on_beats(spark: SparkSession, d: str) -> DataFrame:
+    n = notes(spark, d).select("rec", "seq", F.col("beat").alias("t"))
+    beats = n.where("seq % 3 = 1").select("rec", F.floor(F.col("seq") / 3).alias("beat_idx"), "t").dropDuplicates(["rec", "t"])
+    return _nine(mu.on_beats(n.select("rec", "t").distinct(), beats), "t", "beat")
+
+
+def folded_tempo(spark: SparkSession, d: str) -> DataFrame:
+    tempos = notes(spark, d).groupBy("rec").agg((30 + F.count("*") * 7 % 500).cast("double").alias("tempo"))
+    return mu.fold_tempo(tempos)
+
+
+def meter_phase(spark: SparkSession, d: str) -> DataFrame:
+    s = notes(spark, d).select("rec", F.col("seq").alias("beat_idx"), F.col("conf").alias("strength"))
+    return _nine(_typed(mu.best_phase(s, 4), "rec long, phase long, strength double"), "strength")
+
+
+def tune_start(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(mu.tune_start(notes(spark, d), 600.0), "rec long, start_tick long")
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    n = notes(spark, d)
+    return n.select("rec", "seq", "pitch", "conf", F.floor(F.col("seq") / 8).alias("block"), (F.col("seq") % 8 * 0.75).alias("start"), F.col("dur"))
+
+
+def slots(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(mu.to_slots(_blocks(spark, d), 12), "rec long, block long, slot int, pitch int")
+
+
+def consensus_vote(spark: SparkSession, d: str) -> DataFrame:
+    n = _blocks(spark, d)
+    weight = n.groupBy("rec", "block").agg(F.greatest(F.lit(0.05), F.avg("conf")).alias("weight"))
+    won = mu.vote(mu.to_slots(n, 12).join(weight, ["rec", "block"]))
+    return _nine(_typed(won, "rec long, slot int, pitch int, agreement double"), "agreement")
+
+
+def block_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return _nine(_typed(mu.block_similarity(mu.to_slots(_blocks(spark, d).where("block < 12"), 12)), "rec long, i long, j long, similarity double"), "similarity")
+
+
+def pitch_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _nine(_typed(mu.pitch_classes(notes(spark, d)), "rec long, pc int, weight double, share double"), "weight", "share")
+
+
+def key_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _nine(_typed(mu.keys(notes(spark, d)), "rec long, tonic int, mode string, score double, rank int"), "score")
+
+
+def interval_idf(spark: SparkSession, d: str) -> DataFrame:
+    return _nine(_typed(mu.idf(mu.ngrams(mu.intervals(notes(spark, d)), 2)), "g string, idf double"), "idf")
+
+
+def _words(df: DataFrame, owner: str) -> DataFrame:
+    return df.select(F.col(owner).alias("owner"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("seq", "x"))
+
+
+def identify(spark: SparkSession, d: str) -> DataFrame:
+    catalog = mu.ngrams(_words(table(spark, d, "benchmark"), "item_id"), 3)
+    observed = mu.ngrams(_words(table(spark, d, "documents"), "doc_id"), 3)
+    best = mu.ranked(mu.coverage(catalog, observed).withColumn("coverage", F.round("coverage", 9)), F.col("coverage"), 3)
+    return _nine(_typed(best, "rec long, tune long, coverage double, rank int, margin double"), "coverage", "margin")
+
+
+def auc(spark: SparkSession, d: str) -> DataFrame:
+    scored = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("lang").alias("grp"), F.col("n_chars").alias("score"), (F.col("toxic") == 1).alias("positive"))
+    return _nine(mu.auc(scored), "auc")
+
+
+def calibration(spark: SparkSession, d: str) -> DataFrame:
+    joined = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    flag, wrong = F.col("n_chars") < 800, F.col("quality") == 0
+    hit = F.count_if(flag & wrong)
+    scored = joined.groupBy("lang").agg((hit / F.nullif(F.count_if(flag), F.lit(0))).alias("flag_precision"), (hit / F.nullif(F.count_if(wrong), F.lit(0))).alias("flag_recall"), F.avg(F.when(wrong, F.col("n_chars"))).alias("mean_wrong"), F.avg(F.when(~wrong, F.col("n_chars"))).alias("mean_right"))
+    return _nine(scored, "flag_precision", "flag_recall", "mean_wrong", "mean_right")
+
+
+def _roles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("owner"), F.col("turn").alias("seq"), F.substring("role", 1, 1).alias("label"))
+
+
+def run_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(mu.run_lengths(_roles(spark, d)), "owner long, run long, label string, n long")
+
+
+def repeat_structure(spark: SparkSession, d: str) -> DataFrame:
+    return _nine(mu.repeat_structure(mu.run_lengths(_roles(spark, d))), "score")
+
+
+def reduced_form(spark: SparkSession, d: str) -> DataFrame:
+    forms = _roles(spark, d).groupBy("owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "label"))), lambda x: x["label"]), "").alias("form"))
+    return forms.select("owner", "form", fn.reduced_form(F.col("form")).alias("unit"))
+
+
+def sequence_similarity(spark: SparkSession, d: str) -> DataFrame:
+    n = _blocks(spark, d).groupBy("rec", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "pitch"))), lambda x: F.chr(x["pitch"].cast("long"))), "").alias("s"))
+    a, b = n.alias("a"), n.alias("b")
+    pairs = a.join(b, (F.col("a.rec") == F.col("b.rec")) & (F.col("a.block") + 1 == F.col("b.block")))
+    return pairs.select(F.col("a.rec").alias("rec"), F.col("a.block").alias("block"), F.round(fn.sequence_similarity(F.col("a.s"), F.col("b.s")), 9).alias("similarity"))
+
+
+def spectrum_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return _nine(mu.entropy(table(spark, d, "embeddings").select(F.col("vec_id").alias("owner"), F.col("embedding").alias("act"))), "bits", "top2")
+
+
+def octave_shift(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(mu.octave_shift(notes(spark, d)), "rec long, shift int, worth long")
+
+
+def split_runs(spark: SparkSession, d: str) -> DataFrame:
+    f = frames(spark, d).where("midi is not null")
+    return kn.split_runs(f.select("rec", F.floor(F.col("frame") / 50).alias("run"), "frame", "midi"))
+
+
+def aligned(spark: SparkSession, d: str) -> DataFrame:
+    n = _blocks(spark, d)
+    b = n.groupBy("rec", "block").agg(F.array_sort(F.collect_list(F.struct("seq", "pitch", "start"))).alias("x")).select("rec", "block", F.transform("x", lambda x: F.struct(x["pitch"].alias("pitch"), x["start"].alias("beat"))).alias("x"))
+    first, second = b.where("block = 0").select("rec", F.col("x").alias("pred")), b.where("block = 1").select("rec", F.col("x").alias("truth"))
+    return kn.align(first.join(second, "rec"))
+
+
+def selected_voice(spark: SparkSession, d: str) -> DataFrame:
+    n = notes(spark, d)
+    return kn.select_voice(n.select("rec", (F.col("seq") * 0.2).alias("start"), (F.col("seq") * 0.2 + F.col("dur")).alias("end"), "pitch", F.col("conf").alias("amp")))
+
+
+def leader_groups(spark: SparkSession, d: str) -> DataFrame:
+    return kn.leaders(block_similarity(spark, d), 0.12)
+
+
+_ALL = (
+    voiced_runs, pitch_scale, gated, normalized_confidence, jump_gate, rolling_median, octave_correction, fill_gaps, note_features, presence, repetition, quantized, nearest_duration, on_beats, folded_tempo, meter_phase, tune_start,
+    slots, consensus_vote, block_similarity, pitch_classes, key_topk, interval_idf, identify, auc, calibration, run_lengths, repeat_structure, reduced_form, sequence_similarity, spectrum_entropy, octave_shift, split_runs, aligned, selected_voice, leader_groups,
+)
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _ALL}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
