@@ -1,0 +1,177 @@
+"""The numbered queries: against SQL, brute force, exact round trips or held-out accuracy, on the smallest tables."""
+
+import hashlib
+import math
+import os
+import re
+import zlib
+from collections import defaultdict
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from cadenza.llm import decontaminate, fingerprints, licenses, minhash, quality, registry, secret_scan, suffixes, toxicity
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF_LABELS = "/root/testdata/sf0.01"
+
+
+def table(spark, name, at=SF):
+    return spark.read.parquet(f"{at}/{name}.parquet")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = registry.queries()[name](spark, SF)
+    answer = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in answer.description]
+    assert sorted(columns) == sorted(got.columns)
+    plain = lambda v: round(v, 6) if isinstance(v, float) else v
+    mine = sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=repr)
+    theirs = sorted((tuple(plain(v) for v in r) for r in answer.fetchall()), key=repr)
+    assert mine == theirs and mine
+
+
+def test_fingerprints(spark):
+    docs = sorted((r.doc_id, r.text) for r in table(spark, "documents").select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in registry.op2_fingerprints(spark, SF).collect()}
+    prints = {i: fingerprints.PrefixHash.of(t).fingerprint() for i, t in docs}
+    assert len(got) == len(docs)
+    for k, (i, text) in enumerate(docs):
+        after = docs[(k + 1) % len(docs)]
+        n = len(text)
+        edited = text[: n - n // 2] + after[1][: n // 2]
+        mark = fingerprints.PrefixHash.of(edited).fingerprint()
+        assert (got[i].n_chars, got[i].edited_sha256, got[i].fingerprint, got[i].edited_fingerprint) == (n, hashlib.sha256(edited.encode()).hexdigest(), prints[i], mark)
+        assert got[i].near_edited == fingerprints.likeness(prints[i], mark) and got[i].near_next == fingerprints.likeness(prints[i], prints[after[0]])
+    assert len(set(prints.values())) == len({t for _, t in docs})
+
+
+def test_prefix_hash_answers_spans():
+    a, b = fingerprints.PrefixHash.of("the cat sat, é😀 here"), fingerprints.PrefixHash.of("a cat sat, é😀 there")
+    assert a.equal(4, b, 2, 12) and not a.equal(4, b, 2, 13)
+    assert a.extension(4, b, 2) == 12 and a.extension(0, b, 0) == 0
+
+
+def test_secret_spans(spark):
+    kinds = [("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
+    texts = {r.doc_id: r.text for r in table(spark, "documents").collect()}
+    for row in registry.op4_secrets(spark, SF).collect():
+        spans = sorted((m.start(), k, m.end(), n) for k, (n, p, g, least) in enumerate(kinds) for m in p.finditer(texts[row.doc_id]) if len(m[g]) >= least)
+        said = ",".join(f"{n}:{a}:{b}" for a, _, b, n in spans)
+        assert row.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert ",".join(x for x in row.spans.split(",") if not x.startswith("random")) == said
+        assert [row.n_assign, row.n_access, row.n_hex] == [sum(x[3] == k for x in spans) for k, *_ in kinds]
+
+
+def test_randomness_battery(spark):
+    random, plain = "xQ7zP0aK9dLm3RtY8uWq2B", "Reinheitengesellschaft2a Internationalization4all AaaaaaaaaaaaaaaaaaaaaaaaaA1"
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in secret_scan.find_secrets(spark.createDataFrame([(1, f"é {random} end"), (2, plain), (3, f"token='{random}'")], "doc_id long, text string")).collect()}
+    assert got[1] == [("random", 2, 24)] and ("random", 25, 49) not in got[2] and [k for k, *_ in got[3]] == ["assign"]
+
+
+def test_normal_distribution(spark):
+    for z in (-6.0, -1.5, 0.0, 0.7, 3.0):
+        got = spark.range(1).select(secret_scan.below(secret_scan.F.lit(z))).head()[0]
+        assert abs(got - 0.5 * math.erfc(-z / math.sqrt(2))) < 1e-6
+
+
+def test_licenses(spark):
+    texts = {r.doc_id: r.text for r in table(spark, "documents").collect()}
+    for row in registry.op9_licenses(spark, SF).collect():
+        w, found = WORDS.findall(lower(texts[row.doc_id])), []
+        for phrase, label in licenses.PHRASES:
+            p = phrase.split()
+            found += [(i, label) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+        base = sorted({label for _, label in found})
+        assert (row.n_words, row.n_base, row.base_labels) == (len(w), len(found), ",".join(base))
+        assert (row.first_word, row.last_word) == ((min(found)[0], max(found)[0]) if found else (None, None))
+        assert set(base) <= set(row.labels.split(",")) | {""} and 0 <= row.score <= 1
+
+
+def test_notice_with_an_inserted_word(spark):
+    got = licenses.scan_licenses(spark.createDataFrame([(1, "x Permission is hereby granted, free of any charge, to any person obtaining a copy of this software"), (2, "free of charge")], "doc_id long, text string"))
+    assert {r.doc_id: r.labels for r in got.collect()} == {1: "mit", 2: ""}
+
+
+@pytest.mark.parametrize(("module", "label", "folds", "fold", "least"), [(toxicity, "toxic", 4, 2, 0.85), (quality, "quality", 3, 1, 0.9)])
+def test_held_out_accuracy(spark, module, label, folds, fold, least):
+    truth = {r.doc_id: r[label] for r in table(spark, "labels", SF_LABELS).collect()}
+    rows = module.classified(table(spark, "documents", SF_LABELS), table(spark, "labels", SF_LABELS)).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == fold) and 0 <= r.score <= 1 and r.predicted == int(r.score >= module.THRESHOLD) for r in rows)
+    held = [r.predicted == truth[r.doc_id] for r in rows if r.held_out and r.doc_id in truth]
+    assert sum(held) / len(held) >= least
+
+
+def test_interactions_are_learned():
+    """A pair that is toxic where neither word alone is."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    texts, y = [], []
+    for _ in range(400):
+        a, b = rng.random(2) < 0.5
+        texts.append("foo " * int(a) + "bar " * int(b) + "x")
+        y.append(float(a and b))
+    machine = toxicity.Machine()
+    bucket, doc = toxicity._buckets(pa.array(texts))
+    machine.fit(bucket, doc, np.array(y), 0.0)
+    both, one, other = machine.score(pa.array(["foo bar", "foo", "bar"]))
+    assert both > 0.8 and one < 0.3 and other < 0.3
+
+
+def test_pipeline_against_its_operators(spark):
+    """Each stage on its own input, against the operators' brute force where one is short."""
+    docs = table(spark, "documents", SF)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r for r in docs.collect()}
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        after = {r.doc_id: r for r in docs.collect()}
+        assert set(after) <= set(before) and docs.columns == list(corpus_pipeline.COLUMNS)
+        if name == "decontamination":
+            windows = set()
+            for b in table(spark, "benchmark").collect():
+                w = WORDS.findall(lower(b.text))
+                windows |= {tuple(w[i : i + 10]) for i in range(max(len(w) - 9, 1))}
+            leaks = {i for i, r in before.items() if any(tuple(WORDS.findall(lower(r.text))[j : j + 10]) in windows for j in range(len(WORDS.findall(lower(r.text)))))}
+            assert set(after) == set(before) - leaks
+        if name == "secrets":
+            assert set(after) == set(before) and all(r.n_chars == len(r.text) and "AKIA" not in r.text for r in after.values())
+    got = defaultdict(int)
+    for r in corpus_pipeline.mix_sources(spark, docs, SF).collect():
+        got[r.doc_id] += 1
+    assert got and max(got.values()) <= 2
+    assert corpus_pipeline.run(spark, SF).count() == sum(got.values())
+
+
+def test_several_pattern_blocks_find_the_same(spark):
+    docs, bench = table(spark, "documents").select("doc_id", "text"), table(spark, "benchmark")
+    rows = lambda block: sorted((r.doc_id, list(r.hit_words), list(r.hit_items)) for r in decontaminate.find_leaks(docs, bench, block=block).collect())
+    assert rows(200) == rows(200_000)
+
+
+def test_near_copies_of_one_text_link_through_it(spark):
+    base = [f"w{i}" for i in range(120)]
+    docs = [(0, " ".join(base))] + [(i, " ".join(base[: 3 * i] + ["x", f"y{i}"] + base[3 * i + 2 :])) for i in range(1, 30)] + [(90, " ".join(f"z{i}" for i in range(120)))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in range(30)) and got[90] == 90
+
+
+def test_shared_passage(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(1, f"{' '.join(f'a{i}' for i in range(70))} {passage} end"), (2, f"Start. {passage.upper()}! {' '.join(f'b{i}' for i in range(40))}"), (3, " ".join(f"c{i}" for i in range(100)))]
+    got = {r.doc_id: r for r in suffixes.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: [tuple(p) for p in r.passages] for i, r in got.items()} == {1: [(70, 130)], 2: [(1, 61)]}
+    assert (got[1].n_extra, got[2].n_extra) == (0, 60)
