@@ -53,8 +53,8 @@ def _matches(df: DataFrame, name: str, pattern: str, group: int, least: int) ->
     return df.withColumn(name, F.coalesce(F.filter(F.when(some, spans), lambda x: F.length(x["said"]) >= least), F.expr(none))).drop("_m", "_g", "_s")
 
 
-def _tested(token: Column) -> Column:
-    """The encoding of one token struct(start, end, said): struct(start, end, n, k, alike, at); k is 0 for none."""
+def _encoding(token: Column) -> Column:
+    """The encoding of one token struct(start, end, said): struct(start, end, said, k, alike, alphabet); k is 0 for none."""
     said = F.translate(F.regexp_replace(token["said"], "=+$", ""), "-_", "+/")
     k, alike, alphabet = F.lit(0), F.lit(0.0), F.lit("")
     for _, form, holds, symbols, like in reversed(ENCODINGS):
@@ -62,27 +62,41 @@ def _tested(token: Column) -> Column:
         for x in holds:
             fits = fits & said.rlike(x)
         k, alike, alphabet = F.when(fits, len(symbols)).otherwise(k), F.when(fits, like).otherwise(alike), F.when(fits, symbols).otherwise(alphabet)
-    chars = F.filter(F.split(said, ""), lambda c: c != "")
-    at = F.transform(chars, lambda c: F.instr(alphabet, c).cast("double"))
-    return F.struct(token["start"].alias("start"), token["end"].alias("end"), F.length(said).cast("double").alias("n"), k.cast("double").alias("k"), alike.alias("alike"), at.alias("at"))
+    return F.struct(token["start"].alias("start"), token["end"].alias("end"), said.alias("said"), k.cast("double").alias("k"), alike.alias("alike"), alphabet.alias("alphabet"))
+
+
+def _placed(x: Column) -> Column:
+    """Of one encoded token: the places of its characters in the alphabet. What a lambda refers to may be computed anew for each element, so every step's results are fields before a lambda uses them."""
+    at = F.transform(F.filter(F.split(x["said"], ""), lambda c: c != ""), lambda c: F.instr(x["alphabet"], c).cast("double"))
+    return F.struct(*(x[c].alias(c) for c in ("start", "end", "k", "alike")), F.length(x["said"]).cast("double").alias("n"), at.alias("at"))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+def _measured(x: Column) -> Column:
+    """Of one placed token: the squares of how often its characters occur, which are above the alphabet's middle, and their mean."""
+    at = x["at"]
+    seen = F.transform(F.array_distinct(at), lambda v: F.pow(F.size(F.filter(at, lambda w: w == v)).cast("double"), F.lit(2.0)))
+    kept = [x[c].alias(c) for c in ("start", "end", "n", "k", "alike", "at")]
+    return F.struct(*kept, _total(seen).alias("squares"), F.transform(at, lambda v: v > x["k"] / 2).alias("up"), (_total(at) / x["n"]).alias("centre"))
 
 
 def _p_values(x: Column) -> Column:
-    """Of one encoded token: struct(start, end, n, p, even), p from the chi-squared test and even if the other two pass."""
-    n, k, at, zero = x["n"], x["k"], x["at"], F.lit(0.0)
-    total = lambda values: F.aggregate(values, zero, lambda a, v: a + v)
-    times = F.transform(F.array_distinct(at), lambda v: F.pow(F.size(F.filter(at, lambda w: w == v)).cast("double"), F.lit(2.0)))
-    chi = total(times) * k / n - n
+    """Of one measured token: struct(start, end, n, p, even), p from the chi-squared test and even if the other two pass."""
+    n, k, at = x["n"], x["k"], x["at"]
+    chi = x["squares"] * k / n - n
     extra = n * (x["alike"] - 1)
     p = below((chi - (k - 1) - extra) / F.sqrt(2 * (k - 1) + 4 * extra))
-    up = F.transform(at, lambda v: (v > k / 2).cast("double"))
-    n1 = total(up)
+    before, after = lambda c: F.slice(c, F.lit(1), F.size(at) - 1), lambda c: F.slice(c, F.lit(2), F.size(at) - 1)
+    n1 = F.size(F.filter(x["up"], lambda v: v)).cast("double")
     mean = 2 * n1 * (n - n1) / n + 1
-    turns = total(F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda i: (up[i] != up[i - 1]).cast("double"))) + 1
+    turns = F.size(F.filter(F.zip_with(before(x["up"]), after(x["up"]), lambda a, b: a != b), lambda v: v)) + 1
     runs = F.abs(turns - mean) / F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
-    centre = total(at) / n
-    ahead = total(F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda i: (at[i] - centre) * (at[i - 1] - centre)))
-    serial = F.abs(ahead / F.greatest(total(F.transform(at, lambda v: (v - centre) * (v - centre))), F.lit(1e-9)) * F.sqrt(n) + 1 / F.sqrt(n))
+    ahead = _total(F.zip_with(before(at), after(at), lambda a, b: (a - x["centre"]) * (b - x["centre"])))
+    spread = _total(F.transform(at, lambda v: (v - x["centre"]) * (v - x["centre"])))
+    serial = F.abs(ahead / F.greatest(spread, F.lit(1e-9)) * F.sqrt(n) + 1 / F.sqrt(n))
     return F.struct(x["start"].alias("start"), x["end"].alias("end"), n.alias("n"), p.alias("p"), ((runs < 3.3) & (serial < 3.3)).alias("even"))
 
 
@@ -103,8 +117,8 @@ def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     df = _matches(df, "_tokens", TOKEN, 0, 20)
     df = df.withColumn("_base", F.concat(*(F.transform(f"_{kind}", _as(kind)) for kind, *_ in PATTERNS)))
     apart = F.filter("_tokens", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    df = df.withColumn("_encoded", F.filter(F.transform(apart, _tested), lambda x: x["k"] > 0))
-    df = df.withColumn("_tested", F.transform("_encoded", _p_values))
+    df = df.withColumn("_encoded", F.filter(F.transform(apart, _encoding), lambda x: x["k"] > 0))
+    df = df.withColumn("_tested", F.transform(F.transform(F.transform("_encoded", _placed), _measured), _p_values))
     length = F.aggregate("_tested", F.lit(0.0), lambda a, x: a + x["n"]) / F.size("_tested")
     df = df.withColumn("_family", F.transform("_tested", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["even"].alias("even"), (x["p"] * length / x["n"]).alias("q"))))
     df = df.withColumn("_q", F.array_sort(F.transform("_family", lambda x: x["q"])))

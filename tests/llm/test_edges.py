@@ -130,3 +130,15 @@ def test_empty_tables(spark, docs, labels):
     made = [suffixes.repeated_passages(none), fingerprints.edited_fingerprints(none), decontaminate.find_leaks(none, bench), secret_scan.find_secrets(none), mixing.mix(none), minhash.near_duplicates(none), toxicity.classified(none, labels), quality.classified(none, labels), licenses.scan_licenses(none)]
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert all(df.count() == 0 for df in [*made, chat.digests(chat.records_of(empty))])
+
+
+def test_a_very_long_token_takes_no_quadratic_time(spark):
+    import random
+    import string
+    import time
+
+    rng = random.Random(1)
+    blob = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(60_000))
+    began = time.time()
+    got = secret_scan.find_secrets(spark.createDataFrame([(1, blob)], "doc_id long, text string")).head()
+    assert [(s.kind, s.start, s.end) for s in got.secrets] == [("random", 0, 60_000)] and time.time() - began < 60
