@@ -42,3 +42,19 @@ def reduced_form(form: Column) -> Column:
     n = F.length(form)
     unit = F.filter(F.sequence(F.lit(1), n), lambda k: (n % k == 0) & (F.repeat(F.substring(form, F.lit(1), k), (n / k).cast("int")) == form))
     return F.when(n > 0, F.substring(form, F.lit(1), unit[0])).otherwise(form)
+
+
+def note_confidence(salience: Column, stability: Column, timing: Column, agreement: Column, weights: tuple[float, ...] = (0.30, 0.20, 0.15, 0.35)) -> Column:
+    """Weighted mean of four kinds of evidence, each cut to 0 to 1; 0 if the weights are."""
+    cut = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    if sum(weights) <= 0:
+        return F.lit(0.0)
+    total = F.lit(0.0)
+    for w, c in zip(weights, (salience, stability, timing, agreement), strict=True):
+        total = total + w * cut(c)
+    return cut(total / sum(weights))
+
+
+def timing_score(error: Column, tolerance: float = 0.25) -> Column:
+    """1 for a note on the grid, 0 from `tolerance` beats off on."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(error) / max(tolerance, 1e-6)))

@@ -12,6 +12,7 @@ from ..operators import frames as fr
 from ..operators import kernels as kn
 from ..operators import music as mu
 from ..sources import frames, notes, table
+from . import tunes
 from .sql import SQL
 
 FLAGSHIP = "voiced_runs"
@@ -119,7 +120,7 @@ def consensus_vote(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return _nine(_typed(mu.block_similarity(mu.to_slots(_blocks(spark, d).where("block < 12"), 12)), "rec long, i long, j long, similarity double"), "similarity")
+    return _nine(_typed(mu.block_similarity(mu.to_slots(_blocks(spark, d), 12)), "rec long, i long, j long, similarity double"), "similarity")
 
 
 def pitch_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -218,8 +219,8 @@ _ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL}
+    return {f.__name__: f for f in (*_ALL, *tunes.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | tunes.SQL

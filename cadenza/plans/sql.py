@@ -77,7 +77,7 @@ SELECT t.rec, t.tempo, coalesce(f, 1.0) AS factor, t.tempo * coalesce(f, 1.0) AS
 c AS (SELECT rec, slot, pitch % 12 AS pc, sum(weight) AS w, min(block) AS b FROM s GROUP BY ALL), k AS (SELECT *, w / sum(w) OVER (PARTITION BY rec, slot) AS agreement, row_number() OVER (PARTITION BY rec, slot ORDER BY w DESC, b) AS k FROM c),
 o AS (SELECT rec, slot, pitch, pitch % 12 AS pc, sum(weight) AS w, min(block) AS b FROM s GROUP BY ALL), p AS (SELECT o.rec, o.slot, pitch, agreement, row_number() OVER (PARTITION BY o.rec, o.slot ORDER BY o.w DESC, o.b) AS r FROM o JOIN k ON k.rec = o.rec AND k.slot = o.slot AND k.pc = o.pc AND k.k = 1)
 SELECT rec, slot, pitch, round(agreement, 9) AS agreement FROM p WHERE r = 1""",
-    "block_similarity": f"""WITH {_SLOTS}, s AS (SELECT * FROM sl WHERE block < 12), z AS (SELECT rec, block, count(*) AS n FROM s GROUP BY ALL),
+    "block_similarity": f"""WITH {_SLOTS}, s AS (SELECT * FROM sl), z AS (SELECT rec, block, count(*) AS n FROM s GROUP BY ALL),
 m AS (SELECT x.rec, x.block AS i, y.block AS j, sum(CASE WHEN x.pitch = y.pitch THEN 1.0::DOUBLE WHEN abs(x.pitch - y.pitch) % 12 = 0 THEN 0.6::DOUBLE ELSE 0 END) AS agree FROM s x JOIN s y ON x.rec = y.rec AND x.slot = y.slot AND x.block < y.block GROUP BY ALL)
 SELECT m.rec, i, j, round(agree / n, 9) AS similarity FROM m JOIN z ON z.rec = m.rec AND z.block = m.i""",
     "pitch_classes": f"WITH {_NOTES}, {_PC} SELECT rec, pc, round(weight, 9) AS weight, round(share, 9) AS share FROM pc",
