@@ -20,14 +20,16 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold: in
     """Training rows (doc_id, text, y), and the log-odds by which the sample's share of ones differs from that of all training labels.
 
     Of each class the `per_class` ids with the smallest hash are taken, so the sample is the same in every run and its
-    size doesn't grow with the table. Null ids and labels are left out; of several labels of an id the largest holds.
+    size doesn't grow with the table. Null ids and labels are left out; of several labels of an id the largest holds, of
+    several texts the one with the smallest hash, so that rows which share an id don't enlarge the sample.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max("y").alias("y"))
     all_of = {row.y: row["count"] for row in known.groupBy("y").count().collect()}
     ids = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = ids[0].union(ids[1])
-    rows = only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, "doc_id").join(F.broadcast(ids), "doc_id")
+    rows = only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), ids, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).join(F.broadcast(ids), "doc_id")
     if len(all_of) < 2:
         return rows, 0.0
     odds = lambda n: math.log(n[1] / n[0])

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, components, decontaminate, fingerprints, licenses, minhash, mixing, quality, secret_scan, suffixes, toxicity
+from cadenza.llm import chat, components, decontaminate, fingerprints, learn, licenses, minhash, mixing, quality, secret_scan, suffixes, toxicity
 
 ROWS = [(1, None, None), (2, "", "a"), (3, "   \n", "a"), (4, "word", "b"), (5, "word", "b"), (5, "word", "b"), (None, "a text without an id", None), (None, None, "a"), (7, "é😀 " * 3000, "b"), (8, "x" * 40_000, "a"), (9, " ".join(f"t{i % 900}" for i in range(30_000)), "b")]
 SCHEMA = "doc_id long, text string, source string"
@@ -142,3 +142,10 @@ def test_a_very_long_token_takes_no_quadratic_time(spark):
     began = time.time()
     got = secret_scan.find_secrets(spark.createDataFrame([(1, blob)], "doc_id long, text string")).head()
     assert [(s.kind, s.start, s.end) for s in got.secrets] == [("random", 0, 60_000)] and time.time() - began < 60
+
+
+def test_rows_that_share_an_id_add_one_text_to_the_sample(spark):
+    shared = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    known = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, y int")
+    rows, _ = learn.sample(shared.union(spark.createDataFrame([(2, None), (2, None), (9, "x")], "doc_id long, text string")), known, "y", 1, 1, 10)
+    assert sorted((r.doc_id, r.y, r.text == "") for r in rows.collect()) == [(1, 0, False), (2, 1, True)]
