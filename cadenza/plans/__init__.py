@@ -12,7 +12,7 @@ from ..operators import frames as fr
 from ..operators import kernels as kn
 from ..operators import music as mu
 from ..sources import frames, notes, table
-from . import tunes
+from . import segments, tunes
 from .sql import SQL
 
 FLAGSHIP = "voiced_runs"
@@ -219,8 +219,8 @@ _ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*_ALL, *tunes.ALL)}
+    return {f.__name__: f for f in (*_ALL, *tunes.ALL, *segments.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | tunes.SQL
+    return SQL | tunes.SQL | segments.SQL

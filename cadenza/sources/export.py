@@ -85,3 +85,65 @@ def read_musicxml(spark: SparkSession, path: str) -> DataFrame:
     step = F.element_at(F.create_map(*(F.lit(v) for kv in {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}.items() for v in kv)), F.col("n.pitch.step"))
     pitch = 12 * (F.col("n.pitch.octave") + 1) + step + F.coalesce("n.pitch.alter", F.lit(0))
     return each.select("source", "section", "measure", "seq", F.when(F.col("n.pitch").isNotNull(), pitch).alias("pitch"), F.rint(TICKS * F.col("n.duration") / F.coalesce("divisions", F.lit(1))).cast("long").alias("dur_tick"))
+
+
+def _two(value: Column) -> Column:
+    return F.lpad(F.hex(value.cast("long")), 2, "0")
+
+
+def _delta(ticks: Column) -> Column:
+    """A time difference below 2^28 in seven-bit groups, the highest first, as hexadecimal digits."""
+    part = lambda k, more: _two(F.shiftright(ticks, 7 * k).bitwiseAND(F.lit(127)) + more)
+    return F.concat(*(F.when(ticks >= 1 << 7 * k, part(k, 128)).otherwise("") for k in (3, 2, 1)), part(0, 0))
+
+
+def midi_file(notes: DataFrame, tunes: DataFrame) -> DataFrame:
+    """notes(rec, start_tick, dur_tick, pitch or null) and tunes(rec, tempo) as one Standard MIDI File of one track each: rec, content (binary).
+
+    Rests make no events. Events stand by time, ends before starts, then by pitch; a tune without notes is an empty track.
+    """
+    sounding = notes.where("pitch is not null and dur_tick > 0")
+    ends = F.array(F.struct((F.col("start_tick") + F.col("dur_tick")).cast("long").alias("at"), F.lit(0).alias("on")), F.struct(F.col("start_tick").cast("long").alias("at"), F.lit(1).alias("on")))
+    events = sounding.select("rec", F.col("pitch").cast("int").alias("pitch"), F.explode(ends).alias("e")).select("rec", "e.at", "e.on", "pitch")
+    by = Window.partitionBy("rec").orderBy("at", "on", "pitch")
+    events = events.withColumns({"nth": F.row_number().over(by), "delta": F.col("at") - F.coalesce(F.lag("at").over(by), F.lit(0))})
+    said = F.concat(_delta(F.col("delta")), F.when(F.col("on") == 1, "90").otherwise("80"), _two(F.col("pitch")), F.when(F.col("on") == 1, "50").otherwise("40"))
+    tracks = _joined(events.withColumn("said", said), ["rec"], "nth", "said", "")
+    tempo = F.concat(F.lit("00FF5103"), F.lpad(F.hex(F.rint(60_000_000 / F.col("tempo")).cast("long")), 6, "0"))
+    track = F.concat(tempo, F.coalesce("said", F.lit("")), F.lit("00FF2F00"))
+    whole = F.concat(F.lit(f"4D5468640000000600000001{TICKS:04X}4D54726B"), F.lpad(F.hex((F.length("track") / 2).cast("long")), 8, "0"), "track")
+    return tunes.join(tracks, "rec", "left").select("rec", track.alias("track")).select("rec", F.unhex(whole).alias("content"))
+
+
+def _escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def musicxml_text(notes: DataFrame, tunes: DataFrame) -> DataFrame:
+    """notes(rec, section, measure, seq, pitch or null, dur_tick) and tunes(rec, title, beats, sharps, repeats) as one MusicXML text each: rec, text.
+
+    Bars keep the length they have, one that differs from `beats` quarters has a meter of its own in quarters or, if it must, sixteenths. A section that is repeated ends in a backward repeat.
+    """
+    told = notes.join(tunes.select("rec", "sharps"), "rec")
+    pc = F.pmod("pitch", F.lit(12)).cast("int")
+    name = F.when(F.col("sharps") >= 0, F.get(F.array(*map(F.lit, SHARP)), pc)).otherwise(F.get(F.array(*map(F.lit, FLAT)), pc))
+    alter = F.when(F.startswith(name, F.lit("^")), "<alter>1</alter>").when(F.startswith(name, F.lit("_")), "<alter>-1</alter>").otherwise("")
+    pitch = F.concat(F.lit("<pitch><step>"), F.right(name, F.lit(1)), F.lit("</step>"), alter, F.lit("<octave>"), (F.floor(F.col("pitch") / 12) - 1).cast("string"), F.lit("</octave></pitch>"))
+    note = F.concat(F.lit("<note>"), F.when(F.col("pitch").isNull(), "<rest/>").otherwise(pitch), F.lit("<duration>"), F.col("dur_tick").cast("string"), F.lit("</duration></note>"))
+    keys = ["rec", "section", "measure"]
+    lengths = told.groupBy(*keys).agg(F.sum("dur_tick").alias("ticks"))
+    bars = _joined(told.withColumn("said", note), keys, "seq", "said", "").join(lengths, keys).join(tunes.select("rec", "sharps", "repeats", "beats"), "rec")
+    by = Window.partitionBy("rec").orderBy("section", "measure")
+    bars = bars.withColumns({"nth": F.row_number().over(by), "last": F.coalesce(F.lead("section").over(by) != F.col("section"), F.lit(True)), "before": F.coalesce(F.lag("ticks").over(by), F.lit(-1))})
+    quarters = F.when(F.col("ticks") % TICKS == 0, F.concat(F.lit("<beats>"), (F.col("ticks") / TICKS).cast("int").cast("string"), F.lit("</beats><beat-type>4</beat-type>")))
+    meter = F.concat(F.lit("<time>"), F.coalesce(quarters, F.concat(F.lit("<beats>"), F.rint(F.col("ticks") * 4 / TICKS).cast("int").cast("string"), F.lit("</beats><beat-type>16</beat-type>"))), F.lit("</time>"))
+    first = F.when(F.col("nth") == 1, F.concat(F.lit(f"<divisions>{TICKS}</divisions><key><fifths>"), F.col("sharps").cast("string"), F.lit("</fifths></key>"))).otherwise("")
+    plain = F.concat(F.lit("<time><beats>"), F.col("beats").cast("int").cast("string"), F.lit("</beats><beat-type>4</beat-type></time>"))
+    usual = F.col("ticks") == F.col("beats") * TICKS
+    changes = F.col("ticks") != F.col("before")
+    head = F.concat(first, F.when(usual & changes, plain).when(changes, meter).otherwise(""))
+    barline = F.when(F.col("last") & (F.col("repeats") >= 2), '<barline location="right"><repeat direction="backward"/></barline>').otherwise("")
+    measure = F.concat(F.lit('<measure number="'), F.col("nth").cast("string"), F.lit('">'), F.when(head != "", F.concat(F.lit("<attributes>"), head, F.lit("</attributes>"))).otherwise(""), "said", barline, F.lit("</measure>"))
+    body = _joined(bars.withColumn("said", measure), ["rec"], "nth", "said", "")
+    start = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><score-partwise version="4.0"><work><work-title>'), _escaped(F.coalesce("title", F.lit("Untitled"))), F.lit('</work-title></work><part-list><score-part id="P1"><part-name>Melody</part-name></score-part></part-list><part id="P1">'))
+    return body.join(tunes.select("rec", start.alias("head")), "rec").select("rec", F.concat("head", "said", F.lit("</part></score-partwise>\n")).alias("text"))
