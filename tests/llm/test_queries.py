@@ -169,6 +169,14 @@ def test_near_copies_of_one_text_link_through_it(spark):
     assert all(got[i] == 0 for i in range(30)) and got[90] == 90
 
 
+def test_links_at_the_threshold_with_few_equal_coordinates(spark):
+    """Pairs that share 8 of 10 shingles, chosen because fewer than 88 of their 128 coordinates are equal."""
+    unlucky = (342, 559, 2354, 2451, 2951)
+    docs = [(2 * s + at, " ".join(f"s{s}w{i}" for i in range(at, at + 12))) for s in unlucky for at in (0, 1)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs}
+
+
 def test_shared_passage(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = [(1, f"{' '.join(f'a{i}' for i in range(70))} {passage} end"), (2, f"Start. {passage.upper()}! {' '.join(f'b{i}' for i in range(40))}"), (3, " ".join(f"c{i}" for i in range(100)))]
