@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cadenza.llm import chat, components, decontaminate, fingerprints, learn, licenses, minhash, mixing, quality, secret_scan, suffixes, toxicity
 
 ROWS = [(1, None, None), (2, "", "a"), (3, "   \n", "a"), (4, "word", "b"), (5, "word", "b"), (5, "word", "b"), (None, "a text without an id", None), (None, None, "a"), (7, "é😀 " * 3000, "b"), (8, "x" * 40_000, "a"), (9, " ".join(f"t{i % 900}" for i in range(30_000)), "b")]
@@ -83,6 +84,17 @@ def test_one_id_with_two_texts_joins_their_groups(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(rows).collect()} == {1: 1, 5: 1, 9: 1}
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    """With ids that repeat and without ids; rows are counted, as a dict by doc_id would hide the copies."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(2, a), (2, a), (2, a + " more"), (None, a), (None, b), (None, b), (None, b + " more"), (5, c), (5, c), (5, d), (9, d), (3, c + " more"), (None, None), (None, None), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    of = {a: "a", b: "b", c: "c", d: "d", None: None, "": ""}
+    told = sorted(((r.doc_id, of.get(r.text, of.get((r.text or "").removesuffix(" more")))) for r in got.collect()), key=repr)
+    assert told == sorted([(2, "a"), (None, "b"), (3, "c"), (5, "d"), (None, None), (7, "")], key=repr) and got.columns == docs.columns
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(40, 30), (30, 40), (7, 7), (50, None)], "u long, v long")
     got = {r.node: r.component for r in components.components(edges).collect()}
