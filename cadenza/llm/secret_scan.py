@@ -1,6 +1,6 @@
 """Secrets in text: fixed patterns, and tokens that a battery of randomness tests finds too even for text.
 
-Every candidate token gets an encoding (hex, base32 or base64) from the characters it uses, and three statistics on
+Every candidate token gets an encoding (hex, base32 or base36 in either case, or base64) from the characters it uses, and three statistics on
 the places of its characters in that alphabet: chi-squared against uniform use of the alphabet, the runs above and
 below the alphabet's middle, and the correlation of neighbours. Text uses few letters of its alphabet often, so its
 chi-squared grows with its length; the first test's p-value is the chance that text of that length looks so uniform
@@ -26,7 +26,11 @@ KINDS = ("assign", "access", "hex", "random")
 #: name, what all its characters match, what it must contain, alphabet, and how much more often than by chance two characters of text are alike in it
 ENCODINGS = (
     ("hex", "[0-9a-f]+", ("[0-9]", "[a-f]"), "0123456789abcdef", 1.6),
+    ("upper hex", "[0-9A-F]+", ("[0-9]", "[A-F]"), "0123456789ABCDEF", 1.6),
     ("base32", "[A-Z2-7]+", ("[A-Z]", "[2-7]"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 2.1),
+    ("lower base32", "[a-z2-7]+", ("[a-z]", "[2-7]"), "abcdefghijklmnopqrstuvwxyz234567", 2.1),
+    ("upper base36", "[A-Z0-9]+", ("[A-Z]", "[0-9]"), "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2.4),
+    ("lower base36", "[a-z0-9]+", ("[a-z]", "[0-9]"), "0123456789abcdefghijklmnopqrstuvwxyz", 2.4),
     ("base64", "[A-Za-z0-9+/]+", ("[A-Z]", "[a-z]", "[0-9]"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 4.2),
 )
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"

@@ -81,6 +81,14 @@ def test_randomness_battery(spark):
     assert got[1] == [("random", 2, 24)] and ("random", 25, 49) not in got[2] and [k for k, *_ in got[3]] == ["assign"]
 
 
+@pytest.mark.parametrize("symbols", ["0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz234567", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyz"])
+def test_bare_tokens_of_other_alphabets(spark, symbols):
+    token = "".join(symbols[b % len(symbols)] for b in hashlib.sha512(symbols.encode()).digest()[:48])
+    plain = "INTERNATIONALIZATION4ALL reinheitengesellschaft2a BEEFFACEBEEFFACEBEEF00"
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in secret_scan.find_secrets(spark.createDataFrame([(1, f"see {token} end"), (2, plain)], "doc_id long, text string")).collect()}
+    assert got == {1: [("random", 4, 52)], 2: []}
+
+
 def test_normal_distribution(spark):
     for z in (-6.0, -1.5, 0.0, 0.7, 3.0):
         got = spark.range(1).select(secret_scan.below(secret_scan.F.lit(z))).head()[0]
