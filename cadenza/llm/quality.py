@@ -21,9 +21,10 @@ from .learn import Adam, held_out, sample, sigmoid
 
 CHUNK, STEP, GROUP = 256, 192, 4
 EMBED, FILTERS = 6, 32
-#: Labelled documents of each class, and chunks of each, that the network is fitted on.
-PER_CLASS, CHUNKS = 1500, 6
-EPOCHS, BATCH = 8, 32
+#: Labelled documents of each class that the network is fitted on, with all their chunks.
+PER_CLASS = 1500
+#: Steps of the fit, documents to a step, chunks to a block, and blocks of a step that are held in memory.
+STEPS, BATCH, BLOCK, HELD = 470, 32, 512, 8
 THRESHOLD = 0.5
 FOLDS, FOLD = 3, 1
 
@@ -47,64 +48,74 @@ class ByteNet:
         self.p = {"e": normal(256, EMBED, scale=0.5), "w": normal(3, GROUP * EMBED, FILTERS, scale=(12 * EMBED) ** -0.5), "b": np.zeros(FILTERS, np.float32), "o": normal(FILTERS, scale=0.1), "c": np.zeros(1, np.float32)}
         self.p["e"][0] = 0
 
+    def responses(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's response at each step in each chunk, and the embedded chunks."""
+        n = CHUNK // GROUP
+        x = self.p["e"][chunks].reshape(len(chunks), n, GROUP * EMBED)
+        # all taps of all filters in one product
+        z = (x.reshape(-1, GROUP * EMBED) @ self.p["w"].transpose(1, 0, 2).reshape(GROUP * EMBED, -1)).reshape(len(chunks), n, 3 * FILTERS)
+        y = z[:, : n - 2, :FILTERS] + z[:, 1 : n - 1, FILTERS : 2 * FILTERS]
+        y += z[:, 2:, 2 * FILTERS :]
+        return y, x
+
     def pool(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The largest response of each filter in each chunk, where it is, and the embedded chunks."""
-        x = self.p["e"][chunks].reshape(len(chunks), CHUNK // GROUP, GROUP * EMBED)
-        n = CHUNK // GROUP - 2
-        y = x[:, :n] @ self.p["w"][0]
-        y += x[:, 1 : n + 1] @ self.p["w"][1]
-        y += x[:, 2:] @ self.p["w"][2]
+        y, x = self.responses(chunks)
         where = y.argmax(1)
         return np.maximum(np.take_along_axis(y, where[:, None], 1)[:, 0] + self.p["b"], 0), where, x
 
     def score(self, chunks: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        pooled = np.concatenate([self.pool(chunks[i : i + 512])[0] for i in range(0, len(chunks), 512)])
+        pooled = np.concatenate([np.maximum(self.responses(chunks[i : i + BLOCK])[0].max(1) + self.p["b"], 0) for i in range(0, len(chunks), BLOCK)])
         mean = np.add.reduceat(pooled, np.cumsum(counts) - counts) / counts[:, None]
         return sigmoid((mean @ self.p["o"] + self.p["c"][0]).astype(np.float64))
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, shift: float) -> None:
-        """docs: some chunks of each training document."""
+    def _back(self, chunks: np.ndarray, back: np.ndarray, held: list) -> tuple[np.ndarray, np.ndarray]:
+        """What the gradient by chunk and filter says of embeddings and filters. held: what pool() said of the first blocks; later ones are computed again."""
+        de, dw = np.zeros_like(self.p["e"]), np.zeros_like(self.p["w"])
+        for i in range(0, len(chunks), BLOCK):
+            some = chunks[i : i + BLOCK]
+            pooled, where, x = held[i // BLOCK] if i // BLOCK < len(held) else self.pool(some)
+            g, rows = back[i : i + BLOCK] * (pooled > 0), np.arange(len(some))[:, None]
+            for t in range(3):
+                dw[t] += (x[rows, where + t].transpose(1, 2, 0) @ g.T[:, :, None])[:, :, 0].T
+                which = some.reshape(len(some), -1, GROUP)[rows, where + t].ravel()
+                dx = (g[:, :, None] * self.p["w"][t].T[None]).reshape(-1, EMBED)
+                for d in range(EMBED):
+                    de[:, d] += np.bincount(which, dx[:, d], 256)
+        de[0] = 0
+        return de, dw
+
+    def fit(self, docs: list[bytes], y: np.ndarray, shift: float) -> None:
+        """docs: the training texts, of which all chunks are read."""
         adam, rng = Adam(self.p, 0.004), np.random.default_rng(5)
-        for _ in range(EPOCHS):
+        passes = max(1, round(STEPS / -(-len(docs) // BATCH)))
+        for _ in range(passes):
             order = rng.permutation(len(docs))
             for i in range(0, len(order), BATCH):
                 some = order[i : i + BATCH]
-                chunks, counts = np.concatenate([docs[j] for j in some]), np.array([len(docs[j]) for j in some])
-                pooled, where, x = self.pool(chunks)
-                begins = np.cumsum(counts) - counts
-                mean = np.add.reduceat(pooled, begins) / counts[:, None]
+                lengths = [len(docs[j]) for j in some]
+                chunks, counts = _chunks(np.frombuffer(b"".join(docs[j] for j in some), np.uint8), np.concatenate([[0], np.cumsum(lengths)]))
+                blocks, held = [], []
+                for j in range(0, len(chunks), BLOCK):
+                    one = self.pool(chunks[j : j + BLOCK])
+                    blocks.append(one[0])
+                    held += [one] if len(held) < HELD else []
+                pooled = np.concatenate(blocks)
+                mean = np.add.reduceat(pooled, np.cumsum(counts) - counts) / counts[:, None]
                 off = (sigmoid(mean @ self.p["o"] + self.p["c"][0]) - y[some]).astype(np.float32) / len(some)
-                back = np.repeat(off / counts, counts)[:, None] * self.p["o"] * (pooled > 0)
-                rows = np.arange(len(chunks))[:, None]
-                taken = np.stack([x[rows, where + t] for t in range(3)])  # tap, chunk, filter, inputs
-                dw = np.einsum("cf,tcfi->tif", back, taken)
-                de = np.zeros_like(self.p["e"])
-                for t in range(3):
-                    dx = back[:, :, None] * self.p["w"][t].T[None]
-                    which = chunks.reshape(len(chunks), -1, GROUP)[rows, where + t]
-                    flat = dx.reshape(-1, EMBED)
-                    for d in range(EMBED):
-                        de[:, d] += np.bincount(which.ravel(), flat[:, d], 256)
-                de[0] = 0
-                adam.step({"e": de, "w": dw + 1e-5 * self.p["w"], "b": back.sum(0), "o": off @ mean + 1e-4 * self.p["o"], "c": np.array([off.sum()])})
+                back = (np.repeat(off / counts, counts)[:, None] * self.p["o"]).astype(np.float32)
+                de, dw = self._back(chunks, back, held)
+                adam.step({"e": de, "w": dw + 1e-5 * self.p["w"], "b": (back * (pooled > 0)).sum(0), "o": off @ mean + 1e-4 * self.p["o"], "c": np.array([off.sum()])})
         self.p["c"] += np.float32(shift)
 
 
-def _training_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in tx.slices(batches):
-        chunks, counts = _chunks(*tx.buffer(batch.column("text")))
-        begins, rng = np.cumsum(counts) - counts, np.random.default_rng(3)
-        picked = [chunks[b + np.sort(rng.permutation(n)[:CHUNKS])].tobytes() for b, n in zip(begins, counts, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(picked, pa.binary())], ["doc_id", "y", "chunks"])
-
-
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> ByteNet:
     """The network for labels(doc_id, quality) outside the fold. Without labels of both classes it is left as it began and scores near 0.5."""
     rows, shift = sample(docs, labels, "quality", folds, fold, PER_CLASS)
-    got = sorted((r.doc_id, r.y, bytes(r.chunks)) for r in rows.mapInArrow(_training_chunks, "doc_id long, y int, chunks binary").collect())
+    got = sorted((r.doc_id, r.y, r.text.encode()) for r in rows.select("doc_id", "y", "text").collect())
     net, y = ByteNet(), np.array([r[1] for r in got])
     if 0 < y.sum() < len(y):
-        net.fit([np.frombuffer(r[2], np.uint8).reshape(-1, CHUNK) for r in got], y, shift)
+        net.fit([r[2] for r in got], y, shift)
     return net
 
 

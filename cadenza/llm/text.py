@@ -115,6 +115,17 @@ def words(texts: pa.Array, kind: np.ndarray, lower: bool = True) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, at), hashes)
 
 
+def stems(w: Words, which: np.ndarray, length: int) -> np.ndarray:
+    """A hash for the first `length` bytes of each word that `which` marks; such words are longer than that."""
+    at = w.starts[which]
+    with np.errstate(over="ignore"):
+        total, power = np.full(len(at), np.uint64(length) * _OF_PLACE[0]), np.uint64(1)
+        for j in range(length):
+            total += _OF_BYTE[w.data[at + j]] * power
+            power = power * _STEP
+        return mix(total)
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash for each k consecutive words; across texts too, which the caller masks out."""
     if len(hashes) < k:

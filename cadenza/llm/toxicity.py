@@ -1,8 +1,9 @@
-"""Toxicity by a factorization machine over hashed words.
+"""Toxicity by a factorization machine over hashed terms.
 
-Words are hashed to buckets. Of these, the ones whose share among toxic training documents stands out from chance are
-the machine's terms; it learns a weight for each and a vector for each, whose products weigh pairs of terms that occur
-in one document.
+A text's terms are its distinct words and the stems (the first bytes) of its longer words, hashed to buckets, so that
+rare inflected forms share what their stem has learned. The machine learns a weight for each term and a vector for each,
+whose products weigh pairs of terms that occur in one document. No term is screened by its own effect: a group mention
+that is neutral alone keeps its vector, and with it what it means beside an insult.
 """
 
 from __future__ import annotations
@@ -17,58 +18,99 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .learn import Adam, held_out, sample, sigmoid
+from .learn import held_out, sample, sigmoid
 
 BITS = 20
 #: Labelled documents of each class that the machine is fitted on, with all their words.
 PER_CLASS = 4000
-#: Standard deviations by which a term's count in toxic documents differs from its share, and documents that have it, at least.
-STANDS_OUT, SEEN = 5.0, 8
-FACTORS, STEPS = 6, 300
+#: Bytes of a stem, and training documents that hold a term at least: what one document alone has tells nothing of others.
+STEM, SEEN = 6, 2
+#: Steps for the weights alone, and as many for weights and vectors, each in whole passes, at least PASSES; vectors are for terms of PAIRED documents or more.
+STEPS, PASSES, BATCH, FACTORS, PAIRED = 750, 6, 32, 4, 30
+#: Rates of weights and vectors, and what each step takes off their sizes, so that terms and pairs that tell nothing come to zero.
+RATE, RATE_V, THIN_W, THIN_V = 0.3, 0.2, 3e-4, 1e-3
 THRESHOLD = 0.3
 FOLDS, FOLD = 4, 2
 
 
 def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct buckets of each text's words, one text after the other, and the number of the text."""
+    """The distinct buckets of each text's terms, one text after the other, and the number of the text."""
     w = tx.words(texts, tx.ALNUM)
-    pairs = np.unique((w.text_of_word().astype(np.int64) << BITS) | (w.hashes >> np.uint64(64 - BITS)).astype(np.int64))
+    text = w.text_of_word().astype(np.int64) << BITS
+    longer = w.ends - w.starts > STEM
+    hashes = np.concatenate([w.hashes, tx.stems(w, longer, STEM)])
+    pairs = np.unique(np.concatenate([text, text[longer]]) | (hashes >> np.uint64(64 - BITS)).astype(np.int64))
     return pairs & ((1 << BITS) - 1), pairs >> BITS
 
 
 class Machine:
+    """terms: sorted buckets; c, w and v: the constant, and each term's weight and vector."""
+
     def __init__(self):
-        self.terms = np.full(1 << BITS, -1, np.int32)
-        self.p = {"c": np.zeros(1), "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
+        self.terms, self.c = np.zeros(0, np.int32), 0.0
+        self.w, self.v = np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32)
+
+    def known(self, bucket: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of buckets and their documents, the terms among them."""
+        if not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, bucket), len(self.terms) - 1)
+        held = self.terms[at] == bucket
+        return at[held], doc[held]
 
     def logits(self, term: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Of n documents whose terms are given, and the sums of their terms' vectors."""
-        v = self.p["v"][term]
+        v = self.v[term]
         sums = np.stack([np.bincount(doc, v[:, f], n) for f in range(FACTORS)], 1)
         own = np.bincount(doc, (v * v).sum(1), n)
-        return self.p["c"][0] + np.bincount(doc, self.p["w"][term], n) + 0.5 * ((sums * sums).sum(1) - own), sums
+        return self.c + np.bincount(doc, self.w[term], n) + 0.5 * ((sums * sums).sum(1) - own), sums
 
     def fit(self, bucket: np.ndarray, doc: np.ndarray, y: np.ndarray, shift: float) -> None:
-        n, share = len(y), y.mean()
-        seen, toxic = np.bincount(bucket, minlength=1 << BITS), np.bincount(bucket, y[doc], 1 << BITS)
-        kept = np.flatnonzero((seen >= SEEN) & (np.abs(toxic - seen * share) >= STANDS_OUT * np.sqrt(seen * share * (1 - share) + 1e-9)))
-        self.terms[kept] = np.arange(len(kept))
-        self.p["w"], self.p["v"] = np.zeros(len(kept)), np.random.default_rng(2).standard_normal((len(kept), FACTORS)) * 0.05
-        term = self.terms[bucket]
-        term, doc = term[term >= 0], doc[term >= 0]
-        adam = Adam(self.p, 0.05)
-        for _ in range(STEPS):
-            z, sums = self.logits(term, doc, n)
-            off = (sigmoid(z) - y) / n
-            o, v = off[doc], self.p["v"][term]
-            dv = np.stack([np.bincount(term, o * (sums[doc, f] - v[:, f]), len(kept)) for f in range(FACTORS)], 1)
-            adam.step({"c": np.array([off.sum()]), "w": np.bincount(term, o, len(kept)) + 1e-4 * self.p["w"], "v": dv + 1e-3 * self.p["v"]})
-        self.p["c"] += shift
+        """Adaptive-gradient steps over batches of documents (doc sorted); a step touches the terms of its batch alone."""
+        seen = np.bincount(bucket, minlength=1 << BITS)
+        # a term that all have can't be told from the constant
+        self.terms = np.flatnonzero((seen >= SEEN) & (seen < len(y))).astype(np.int32)
+        rng, k = np.random.default_rng(2), len(self.terms)
+        self.w, self.v = np.zeros(k, np.float32), np.zeros((k, FACTORS), np.float32)
+        term, doc = self.known(bucket, doc)
+        begins = np.searchsorted(doc, np.arange(len(y) + 1))
+        seen_w, seen_v, seen_c = np.full(k, 1e-3, np.float32), np.full(k, 1e-3, np.float32), 1e-3
+        # a term that few batches touch pays at each touch for the batches between
+        thin = np.maximum(1.0, len(y) / BATCH / np.bincount(term, minlength=k))
+        self.c = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+        passes = max(PASSES, round(STEPS / -(-len(y) // BATCH)))
+        for turn in range(2 * passes):
+            if turn == passes:
+                paired = seen[self.terms] >= PAIRED
+                self.v[paired] = rng.standard_normal((int(paired.sum()), FACTORS)) * 0.05
+            order = rng.permutation(len(y))
+            for i in range(0, len(y), BATCH):
+                some = order[i : i + BATCH]
+                t = np.concatenate([term[begins[d] : begins[d + 1]] for d in some])
+                of = np.repeat(np.arange(len(some)), begins[some + 1] - begins[some])
+                z, sums = self.logits(t, of, len(some))
+                off = (sigmoid(z) - y[some]) / len(some)
+                each, place = np.unique(t, return_inverse=True)
+                o, v = off[of], self.v[t]
+                dw = np.bincount(place, o, len(each))
+                dv = np.stack([np.bincount(place, o * (sums[of, f] - v[:, f]), len(each)) for f in range(FACTORS)], 1)
+                seen_c += off.sum() ** 2
+                seen_w[each] += dw * dw
+                seen_v[each] += (dv * dv).sum(1)
+                self.c -= RATE * off.sum() / seen_c**0.5
+                step_w, step_v = RATE / np.sqrt(seen_w[each]), RATE_V / np.sqrt(seen_v[each])
+                moved = self.w[each] - step_w * dw
+                self.w[each] = np.sign(moved) * np.maximum(np.abs(moved) - step_w * thin[each] * THIN_W, 0)
+                if turn < passes:
+                    continue
+                dv *= paired[each, None]
+                moved = self.v[each] - step_v[:, None] * dv
+                self.v[each] = moved * np.maximum(1 - step_v * thin[each] * THIN_V / np.sqrt((moved * moved).sum(1) + 1e-12), 0)[:, None]
+        self.c += shift
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        bucket, doc = _buckets(texts)
-        term = self.terms[bucket]
-        return sigmoid(self.logits(term[term >= 0], doc[term >= 0], len(texts))[0])
+        term, doc = self.known(*_buckets(texts))
+        return sigmoid(self.logits(term, doc, len(texts))[0])
 
 
 def _training_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
