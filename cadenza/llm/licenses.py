@@ -1,76 +1,143 @@
 """License notices by diagonal voting.
 
-Every pair of neighbouring words of every document is joined by hash to the places of such pairs in the templates. A
-match votes for the diagonal `document place - template place`. A diagonal on which all pairs of a template vote, each
-with its words compared, is a place where the template stands word for word. For longer templates, votes on
-neighbouring diagonals, which differ by inserted or missing words, are merged, and a stretch with enough of the
-template's pairs is a notice as well.
+All rolling word grams of every document are hashed and joined to the places of such grams in the templates. A match votes
+for the diagonal `document place - template place`. A diagonal on which all grams of a phrase vote is a place where it may
+stand word for word. For notices and whole license texts, votes on neighbouring diagonals, which differ by inserted or
+missing words, are merged to spans. Every span is verified on the words themselves: a phrase must be equal, and a notice's
+longest common subsequence of words with the span must be SHARE of the longer of both.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Looked for word for word.
-PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Looked for by votes: public notice texts, in their usual wording.
-NOTICES = (
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
-    ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
-)
-#: Words by which merged diagonals may differ, and the share of a template's pairs that a notice needs.
-DRIFT, SHARE = 2, 0.8
-
-
-def _templates(spark) -> DataFrame:
-    """One row for each pair of neighbouring words of each template; a fixed table of some hundred rows."""
+from . import text as tx
+from .license_texts import NOTICES, PHRASES, WHOLE
+from .store import stash
+
+#: Words of a gram in phrases and in notices.
+PHRASE_GRAM, NOTICE_GRAM = 2, 4
+#: Words by which merged diagonals may differ, the part of a template's grams that a span needs to be verified, and the part of its words that makes it a notice.
+DRIFT, VOTES, SHARE = 2, 0.25, 0.8
+
+TEMPLATES = tuple((True, *x) for x in PHRASES) + tuple((False, *x) for x in NOTICES + WHOLE)
+
+
+def _template(said: str, exact: bool) -> tuple[list[bytes], np.ndarray]:
+    """A template's words and gram hashes."""
+    w = tx.words(pa.array([said]), tx.ALNUM)
+    return [w.word(i) for i in range(len(w.starts))], tx.grams(w.hashes, PHRASE_GRAM if exact else NOTICE_GRAM).view(np.int64)
+
+
+def _places(spark) -> DataFrame:
+    """One row for each gram of each template; a fixed table of some thousand rows."""
     rows = []
-    for exact, texts in ((True, PHRASES), (False, NOTICES)):
-        for t, (said, label) in enumerate(texts):
-            words = said.split()
-            rows += [(exact, t, label, len(words) - 1, i, words[i], words[i + 1]) for i in range(len(words) - 1)]
-    return spark.createDataFrame(rows, "exact boolean, template int, label string, pairs int, at int, w1 string, w2 string").withColumn("gram", F.xxhash64("w1", "w2"))
+    for t, (exact, said, _) in enumerate(TEMPLATES):
+        said_words, hashes = _template(said, exact)
+        rows += [(int(h), exact, t, len(said_words), len(hashes), at) for at, h in enumerate(hashes)]
+    return spark.createDataFrame(rows, "gram long, exact boolean, template int, said int, grams int, at int")
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of words of each text, and the places and hashes of its grams that some template has; the text itself stays only where there are any."""
+    known = {k: np.unique(np.concatenate([_template(said, exact)[1] for exact, said, _ in TEMPLATES if exact == (k == PHRASE_GRAM)])) for k in (PHRASE_GRAM, NOTICE_GRAM)}
+    for batch in tx.slices(batches):
+        w = tx.words(batch.column("text"), tx.ALNUM)
+        text, found = w.text_of_word(), []
+        for k, those in known.items():
+            hashes = tx.grams(w.hashes, k).view(np.int64)
+            at = np.flatnonzero(np.isin(hashes, those))
+            at = at[text[at] == text[at + k - 1]]
+            found.append((at, hashes[at]))
+        at, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(at, kind="stable")
+        at, hashes = at[order], hashes[order]
+        each = np.bincount(text[at], minlength=batch.num_rows)
+        made = {
+            "n_words": pa.array(w.counts.astype(np.int64)),
+            "places": tx.listed((at - w.first[text[at]]).astype(np.int32), each, pa.int32()),
+            "hashes": tx.listed(hashes, each, pa.int64()),
+            "text": pc.if_else(pa.array(each > 0), batch.column("text"), pa.scalar(None, batch.column("text").type)),
+        }
+        yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The length of the longest common subsequence of a with each prefix of b."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], (row[:-1] + 1) * (b == x)))
+    return row
+
+
+def likeness(template: list[bytes], said: list[bytes]) -> float:
+    """The longest common subsequence of both, from its first to its last word in `said`, by the longer of that stretch and the template."""
+    ids: dict[bytes, int] = {}
+    a, b = (np.array([ids.setdefault(x, len(ids)) for x in words], np.int32) for words in (template, said))
+    forward = _common(a, b)
+    most = int(forward.max(initial=0))
+    if not most:
+        return 0.0
+    end = int(np.flatnonzero(forward == most)[0])
+    back = _common(a[::-1], b[:end][::-1])
+    return most / max(len(a), int(np.flatnonzero(back == most)[0]))
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    templates = [(exact, _template(said, exact)[0], label) for exact, said, label in TEMPLATES]
+    names = ["doc_id", "key", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
+    for batch in tx.slices(batches):
+        w, out = tx.words(batch.column("text"), tx.ALNUM), []
+        for d, (doc_id, key, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "spans")), strict=True)):
+            first, n = int(w.first[d]), int(w.counts[d])
+            base, notices, score = {}, set(), 0.0
+            for span in spans:
+                exact, said, label = templates[span["template"]]
+                low, high = max(span["low"], 0), min(span["high"], n)
+                here = [w.word(first + i) for i in range(low, high)]
+                if exact and here == said:
+                    base[low, span["template"]] = label
+                elif not exact:
+                    share = likeness(said, here)
+                    score = max(score, share)
+                    notices |= {label} if share >= SHARE else set()
+            at, labels = [p for p, _ in base], set(base.values())
+            out.append((doc_id, key, len(base), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | notices)), 1.0 if base else score))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * len(kinds), kinds, strict=True)], names)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    A null text is empty; rows with one doc_id are told apart by their text. score is the largest share of a template's
-    pairs on its merged diagonals, 0 without any. Other columns aren't read.
+    A null text is empty; rows with one doc_id are told apart by their text. score is 1 for a text with a phrase, else the
+    largest likeness of a span to its template, 0 without any. Other columns aren't read. A text is split once; it crosses
+    the network only if it has grams of a template.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), lower.alias("_t")).select("doc_id", "key", F.regexp_extract_all("_t", F.lit(WORDS), F.lit(0)).alias("words"))
-    grams = F.when(F.size("words") > 1, F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.struct(a.alias("w1"), b.alias("w2"))))
-    grams = read.select("doc_id", "key", F.posexplode(grams).alias("place", "w")).select("doc_id", "key", "place", "w.w1", "w.w2").withColumn("gram", F.xxhash64("w1", "w2"))
-    # the templates are a constant of this module, so their size is known
-    hits = grams.join(F.broadcast(_templates(docs.sparkSession)), ["gram", "w1", "w2"]).select("doc_id", "key", "exact", "template", "label", "pairs", "at", (F.col("place") - F.col("at")).alias("diagonal"))
-    votes = hits.groupBy("doc_id", "key", "exact", "template", "diagonal").agg(F.first("label").alias("label"), F.first("pairs").alias("pairs"), F.collect_set("at").alias("at"))
-
-    order = Window.partitionBy("doc_id", "key", "exact", "template").orderBy("diagonal")
-    votes = votes.withColumn("new", (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(DRIFT + 1)) > DRIFT).cast("int")).withColumn("run", F.sum("new").over(order))
-    runs = votes.groupBy("doc_id", "key", "exact", "template", F.when(F.col("exact"), F.col("diagonal")).otherwise(F.col("run")).alias("run")).agg(
-        F.first("label").alias("label"), F.first("pairs").alias("pairs"), F.min("diagonal").alias("diagonal"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("met")
-    )
-    share = F.col("met") / F.col("pairs")
-    base, notice = F.col("exact") & (F.col("met") == F.col("pairs")), ~F.col("exact") & (share >= SHARE)
-    found = runs.groupBy("doc_id", "key").agg(
-        F.count_if(base).alias("n_base"),
-        F.min(F.when(base, F.col("diagonal"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("diagonal"))).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when(base | notice, F.col("label")))), ",").alias("labels"),
-        F.max(share).alias("score"),
-    )
-    n_words = F.regexp_count(lower, F.lit(WORDS))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), n_words.cast("long").alias("n_words")).alias("d")
-    joined = rows.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.key") == F.col("f.key")), "left")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    read = read.withColumns({"key": F.xxhash64("text"), "n_words": F.lit(0).cast("long"), "places": F.array().cast("array<int>"), "hashes": F.array().cast("array<long>")})
+    read = stash(read.mapInArrow(_grams, "doc_id long, text string, key long, n_words long, places array<int>, hashes array<long>"))
+    grams = read.where(F.size("hashes") > 0).select("doc_id", "key", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("doc_id", "key", F.col("x.places").alias("place"), F.col("x.hashes").alias("gram"))
+    # the templates are a constant of this package, so their size is known
+    hits = grams.join(F.broadcast(_places(docs.sparkSession)), "gram").withColumn("diagonal", F.col("place") - F.col("at"))
+    votes = hits.groupBy("doc_id", "key", "exact", "template", "said", "grams", "diagonal").agg(F.collect_set("at").alias("at"))
+
+    order = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
+    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(DRIFT + 1)) > F.when(F.col("exact"), -1).otherwise(DRIFT)
+    votes = votes.withColumn("run", F.sum(far.cast("int")).over(order))
+    runs = votes.groupBy("doc_id", "key", "exact", "template", "said", "grams", "run").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("met"))
+    runs = runs.where(F.col("met") >= F.when(F.col("exact"), F.col("grams")).otherwise(VOTES * F.col("grams")))
+    slack = F.when(F.col("exact"), 0).otherwise(DRIFT)
+    spans = runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("template", (F.col("low") - slack).alias("low"), (F.col("high") + F.col("said") + slack).alias("high"))).alias("spans"))
+    texts = read.where(F.size("hashes") > 0).select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"])
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
+    asked = texts.alias("t").join(spans.alias("s"), same("t", "s")).select("t.doc_id", "t.key", "text", "spans")
+    found = asked.mapInArrow(_verify, "doc_id long, key long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    joined = read.select("doc_id", "key", "n_words").alias("d").join(found.alias("f"), same("d", "f"), "left")
     return joined.select("d.doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from cadenza.llm import decontaminate, fingerprints, licenses, minhash, quality, registry, secret_scan, suffixes, toxicity
+from cadenza.llm import decontaminate, fingerprints, license_texts, licenses, minhash, quality, registry, secret_scan, suffixes, toxicity
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SF_LABELS = "/root/testdata/sf0.01"
@@ -182,6 +182,48 @@ def test_licenses(spark):
         assert set(base) <= set(row.labels.split(",")) | {""} and 0 <= row.score <= 1
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = old[j] + 1 if x == y else max(old[j + 1], row[j])
+    return row[-1]
+
+
+def test_notice_likeness_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        a, b = ([rng.choice("abcd").encode() for _ in range(rng.randint(1, 9))] for _ in range(2))
+        most = lcs(a, b)
+        best = max((most / max(len(a), j - i) for i in range(len(b)) for j in range(i + 1, len(b) + 1) if lcs(a, b[i:j]) == most), default=0.0) if most else 0.0
+        got = licenses.likeness(a, b)
+        assert got <= best and (got > 0) == (most > 0) and got >= most / max(len(a), len(b))
+
+
+def test_labels_by_brute_force(spark):
+    """Every stretch of every text against every template, in plain Python."""
+    mit, bsd = licenses.NOTICES[5][0], licenses.NOTICES[6][0]
+    whole = " ".join(WORDS.findall(lower(license_texts.ISC)))
+    doubled = " ".join(f"{x} {x}" if 0 < i < 15 else x for i, x in enumerate(mit.split()))
+    texts = [mit, f"x y {mit} z", mit.replace("free of", "free of any"), doubled, "free of charge", f"{bsd} {mit}", whole.replace(" software", " softwares", 2), " ".join(mit.split()[::-1]), "", f"All rights reserved. {mit[:40]} cc by"]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        w, labels, score = WORDS.findall(lower(texts[r.doc_id])), set(), 0.0
+        for exact, said, label in licenses.TEMPLATES:
+            t = WORDS.findall(lower(said))
+            for i in range(len(w)):
+                spans = [len(t)] if exact else range(max(1, int(len(t) * 0.8)), int(len(t) / 0.8) + 1)
+                for n in spans:
+                    if i + n > len(w) or (exact and w[i : i + n] != t) or w[i] not in t or w[i + n - 1] not in t:
+                        continue
+                    share = 1.0 if exact else lcs(t, w[i : i + n]) / max(len(t), n)
+                    score, labels = max(score, share if exact or share >= 0.8 else 0.0), labels | ({label} if share >= 0.8 else set())
+        assert set(filter(None, r.labels.split(","))) == labels, r
+        assert abs(r.score - score) < 1e-9 or score == 0 and r.score < 0.8
+    assert [r.labels for r in sorted(rows, key=lambda r: r.doc_id)][3] == ""
+
+
 def test_notice_with_an_inserted_word(spark):
     got = licenses.scan_licenses(spark.createDataFrame([(1, "x Permission is hereby granted, free of any charge, to any person obtaining a copy of this software"), (2, "free of charge")], "doc_id long, text string"))
     assert {r.doc_id: r.labels for r in got.collect()} == {1: "mit", 2: ""}
