@@ -47,6 +47,37 @@ def test_same_as_sql(spark, name):
     assert mine == theirs and mine
 
 
+def likeness_by_hand(a, b):
+    """Common stretches found by comparing characters, from the first places of common spans and both beginnings."""
+    if not a and not b:
+        return 1.0
+    n = fingerprints.SPAN
+    spans = {a[i : i + n] for i in range(len(a) - n + 1)} & {b[j : j + n] for j in range(len(b) - n + 1)}
+    places = [(0, 0)] + [(a.index(s), b.index(s)) for s in spans]
+    in_a, in_b = set(), set()
+    for i, j in places:
+        back, on = 0, 0
+        while i - back > 0 and j - back > 0 and a[i - back - 1] == b[j - back - 1]:
+            back += 1
+        while i + on < len(a) and j + on < len(b) and a[i + on] == b[j + on]:
+            on += 1
+        in_a |= set(range(i - back, i + on))
+        in_b |= set(range(j - back, j + on))
+    return (len(in_a) + len(in_b)) / (len(a) + len(b))
+
+
+def test_likeness_by_brute_force():
+    rng = random.Random(8)
+    texts = ["", "a", "ab", "the same text é😀, twice over", "the same text é😀, twice over"]
+    for _ in range(40):
+        parts = ["".join(rng.choice("abc é😀") for _ in range(rng.randint(5, 25))) for _ in range(4)]
+        texts += ["".join(parts[:3])[:70], "".join([parts[1], parts[3], parts[0]])[:70]]
+    pairs = [(i, j) for i in range(len(texts)) for j in (i, (i + 1) % len(texts), (i * 7) % len(texts))]
+    got = fingerprints.Batch(texts).likeness(pairs)
+    for (i, j), near in zip(pairs, got, strict=True):
+        assert abs(near - likeness_by_hand(texts[i], texts[j])) < 1e-12
+
+
 def test_fingerprints(spark):
     docs = sorted((r.doc_id, r.text) for r in table(spark, "documents").select("doc_id", "text").collect())
     got = {r.doc_id: r for r in registry.op2_fingerprints(spark, SF).collect()}
@@ -58,10 +89,20 @@ def test_fingerprints(spark):
         edited = text[: n - n // 2] + after[1][: n // 2]
         mark = fingerprints.PrefixHash.of(edited).fingerprint()
         assert (got[i].n_chars, got[i].edited_sha256, got[i].fingerprint, got[i].edited_fingerprint) == (n, hashlib.sha256(edited.encode()).hexdigest(), prints[i], mark)
-        assert got[i].near_edited == fingerprints.likeness(prints[i], mark) and got[i].near_next == fingerprints.likeness(prints[i], prints[after[0]])
+        near = fingerprints.Batch([text, edited, after[1]]).likeness([(0, 1), (0, 2)])
+        assert abs(got[i].near_edited - near[0]) < 1e-12 and abs(got[i].near_next - near[1]) < 1e-12 and got[i].near_edited >= (n - n // 2) / max(n, 1) * 0.99
     assert len(set(prints.values())) == len({t for _, t in docs})
 
 
+def test_fingerprints_of_one_id_over_several_buckets(spark):
+    rows = [(None, f"text {i} of none") for i in range(60)] + [(i, f"text {i}") for i in range(30)]
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 6)
+    assert got.count() == 90 and got.select("fingerprint").distinct().count() == 90
+    order = [t for _, t in sorted((r.h, r.text) for r in spark.createDataFrame(rows[:60], "doc_id long, text string").selectExpr("xxhash64(text) h", "text").collect())] + [t for _, t in rows[60:]]
+    want = {fingerprints.PrefixHash.of(t).fingerprint(): hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % 90][: len(t) // 2]).encode()).hexdigest() for k, t in enumerate(order)}
+    assert {r.fingerprint: r.edited_sha256 for r in got.collect()} == want
+
+
 def test_prefix_hash_answers_spans():
     a, b = fingerprints.PrefixHash.of("the cat sat, é😀 here"), fingerprints.PrefixHash.of("a cat sat, é😀 there")
     assert a.equal(4, b, 2, 12) and not a.equal(4, b, 2, 13)
