@@ -1,7 +1,8 @@
 """Chat formatting: records of unlike layouts to one template with a loss mask.
 
-The nested field paths of a JSON record, sorted and hashed, are its schema fingerprint. The fingerprint selects a
-declarative mapping, which says where the turns are and what role and text each has. Turns then go into a template
+The nested field paths of a JSON record that some mapping knows, sorted and hashed, are its schema fingerprint; other
+fields, such as ids and names, are left aside. The fingerprint selects a declarative mapping, which says where the turns
+are, what role and text each has, and which role names of that layout mean others. Turns then go into a template
 whose marks cannot occur in texts: the first character of every control string in a role or text is replaced by an
 escape, and backslashes are doubled, so that reading back is exact.
 """
@@ -50,31 +51,43 @@ def fingerprint(fields: set[str] | frozenset[str]) -> str:
     return hashlib.sha256("\n".join(sorted(fields)).encode()).hexdigest()[:16]
 
 
+def _said(value: object) -> str:
+    """A field as text; of a list of parts their texts, one after the other."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    if isinstance(value, list):
+        return "".join(_said(part.get("text") if isinstance(part, dict) else part) for part in value)
+    return json.dumps(value)
+
+
 @dataclass(frozen=True)
 class Mapping:
-    """turns: the field that lists the turns (none: the record is one turn, or `parts` names a turn each); role and text: fields of a turn; parts: (role, fields joined by a blank line)."""
+    """turns: the field that lists the turns (none: the record is one turn, or `parts` names a turn each); role and text: fields of a turn; parts: (role, fields joined by a blank line); roles: (name in this layout, what it means)."""
 
     turns: str = ""
     role: str = ""
     text: str = ""
     parts: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    roles: tuple[tuple[str, str], ...] = ()
 
     def read(self, record: dict) -> list[tuple[str, str]]:
         if self.parts:
-            said = [(role, "\n\n".join(str(record[f]) for f in fields if record.get(f) not in (None, ""))) for role, fields in self.parts]
+            said = [(role, "\n\n".join(_said(record[f]) for f in fields if record.get(f) not in (None, ""))) for role, fields in self.parts]
             return [x for x in said if x[1]]
         turns = record.get(self.turns) or [] if self.turns else [record]
-        as_text = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v)
-        return [(as_text(t.get(self.role)), as_text(t.get(self.text))) for t in turns]
+        named = dict(self.roles)
+        return [(named.get(_said(t.get(self.role)), _said(t.get(self.role))), _said(t.get(self.text))) for t in turns if isinstance(t, dict)]
 
 
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+_SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 _LAYOUTS = (
     (("role", "text"), Mapping(role="role", text="text")),
     (("role", "content"), Mapping(role="role", text="content")),
     (("messages[].role", "messages[].content"), Mapping("messages", "role", "content")),
+    (("messages[].role", "messages[].content[].text"), Mapping("messages", "role", "content")),
+    (("messages[].role", "messages[].content", "messages[].content[].text"), Mapping("messages", "role", "content")),
     (("messages[].role", "messages[].text"), Mapping("messages", "role", "text")),
-    (("conversations[].from", "conversations[].value"), Mapping("conversations", "from", "value")),
+    (("conversations[].from", "conversations[].value"), Mapping("conversations", "from", "value", roles=_SPEAKERS)),
     (("prompt", "completion"), Mapping(parts=(("user", ("prompt",)), ("assistant", ("completion",))))),
     (("prompt", "response"), Mapping(parts=(("user", ("prompt",)), ("assistant", ("response",))))),
     (("instruction", "output"), Mapping(parts=(("user", ("instruction",)), ("assistant", ("output",))))),
@@ -82,23 +95,35 @@ _LAYOUTS = (
     (("system", "instruction", "input", "output"), Mapping(parts=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))))),
 )
 MAPPINGS = {fingerprint(set(fields)): mapping for fields, mapping in _LAYOUTS}
+#: The field paths that count in a fingerprint.
+KNOWN = frozenset(f for fields, _ in _LAYOUTS for f in fields)
+
+
+def _parsed(record: str | None) -> object:
+    """None for a null record and for one that isn't JSON."""
+    try:
+        return json.loads(record) if record else None
+    except (ValueError, RecursionError):
+        return None
 
 
-def _format(mappings: dict[str, Mapping]):
+def _format(mappings: dict[str, Mapping], known: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints: dict[frozenset[str], str] = {}
         for batch in batches:
             out: list[tuple] = []
             for conv_id, place, record in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "place", "record")), strict=True):
-                parsed = json.loads(record)
-                fields = frozenset(paths(parsed))
+                parsed = _parsed(record)
+                if not isinstance(parsed, dict):
+                    out.append((conv_id, place, None, None, None, None))
+                    continue
+                fields = frozenset(paths(parsed) if known is None else paths(parsed) & known)
                 if fields not in prints:
                     prints[fields] = fingerprint(fields)
                 mapping = mappings.get(prints[fields])
                 for role, text in mapping.read(parsed) if mapping else ():
-                    head = OPEN + escape(ROLES.get(role, role)) + SAYS
-                    body = escape(text)
-                    learned = ROLES.get(role, role) == LEARNED
+                    head, body = OPEN + escape(role) + SAYS, escape(text)
+                    learned = role == LEARNED
                     out.append((conv_id, place, prints[fields], head + body + CLOSE, len(head) if learned else None, len(head) + len(body) if learned else None))
                 if mapping is None:
                     out.append((conv_id, place, prints[fields], None, None, None))
@@ -109,25 +134,27 @@ def _format(mappings: dict[str, Mapping]):
     return run
 
 
-def format_records(records: DataFrame, mappings: dict[str, Mapping] | None = None) -> DataFrame:
+def format_records(records: DataFrame, mappings: dict[str, Mapping] | None = None, known: frozenset[str] | None = None) -> DataFrame:
     """records(conv_id, place, record), record a JSON object: one row for each turn, with layout (the schema fingerprint), formatted, loss_start, loss_end.
 
     The formatted conversation is the concatenation of its turns by place; the loss mask is the code points from
     loss_start to loss_end of an assistant's turn, null for others. A record whose fingerprint has no mapping gives one
-    row with nulls, so that it can be seen and mapped; null roles and texts are empty.
+    row with nulls, so that it can be seen and mapped, and one that is null or no JSON object a row without layout; null roles
+    and texts are empty. With mappings of one's own, `known` names the field paths that count (none: all).
     """
-    return records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("place").cast("long").alias("place"), "record").mapInArrow(_format(MAPPINGS if mappings is None else mappings), "conv_id long, place long, layout string, formatted string, loss_start long, loss_end long")
+    known = KNOWN if mappings is None else known
+    return records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("place").cast("long").alias("place"), "record").mapInArrow(_format(MAPPINGS if mappings is None else mappings, known), "conv_id long, place long, layout string, formatted string, loss_start long, loss_end long")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads formatted turns, sorted by conversation, back from the output; a conversation streams through two hash states."""
-    kinds = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+    kinds = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_unmapped", pa.int64())]
     encoded = lambda s: s.encode("utf-8", "surrogatepass")
     now, state, out = object(), None, []
 
     def closed() -> None:
         if state is not None:
-            out.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+            out.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]))
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
@@ -136,7 +163,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv_id, formatted, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
             if state is None or conv_id != now:
                 closed()
-                now, state = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                now, state = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+            state[5] += formatted is None
             for m in _TURN.finditer(formatted or ""):
                 state[0] += 1
                 state[1].update(encoded(f"{unescape(m[1])}\n{unescape(m[2])}\n"))
@@ -154,15 +182,20 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(records: DataFrame) -> DataFrame:
-    """One row for each conv_id of records: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted turns.
+    """One row for each conv_id of records: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted turns, and n_unmapped, the records that gave no turns.
 
     Turns stand by place, null first, then by the record's text. A null conv_id is one conversation.
     """
     whole = records.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "place", "record")
-    return format_records(whole).mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return format_records(whole).mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_unmapped long")
 
 
-def records_of(conversations: DataFrame) -> DataFrame:
-    """conversations(conv_id, turn, role, text) as one JSON record for each row."""
-    record = F.to_json(F.struct(F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")), {"ignoreNullFields": "false"})
+def records_of(conversations: DataFrame, mixed: bool = False) -> DataFrame:
+    """conversations(conv_id, turn, role, text) as one JSON record for each row; mixed: in one of three layouts, by conv_id."""
+    role, text = F.col("role").cast("string"), F.col("text").cast("string")
+    as_json = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    plain, content = as_json(F.struct(role.alias("role"), text.alias("text"))), F.struct(role.alias("role"), text.alias("content"))
+    listed = as_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.array(content).alias("messages")))
+    of = F.pmod(F.col("conv_id").cast("long"), F.lit(3))
+    record = F.when(of == 1, as_json(content)).when(of == 2, listed).otherwise(plain) if mixed else plain
     return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("place"), record.alias("record"))

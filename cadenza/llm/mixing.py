@@ -1,12 +1,13 @@
 """Mixing sources to target weights by systematic sampling.
 
 Within a source every document expects target / size of its source copies.
-Documents stand in order of size, then doc_id; the expected copies are summed
-along that order from one random offset, and a document is taken once for
-each integer that its step crosses. As all steps of a source are equal, the
-sum before a document is its rank times the step, and the rank comes from
-counts by (source, size), by block of doc_ids, and a window inside a block:
-no window holds a whole source.
+Documents stand in order of size, then of a hash of id and text; the expected
+copies are summed along that order from one random offset, and a document is
+taken once for each integer that its step crosses. As all steps of a source
+are equal, the sum before a document is its rank times the step, and the rank
+comes from counts by (source, size), by block of hashes, and a window inside a
+block. A block is one of 4,096, so no window holds more than a small part of a
+source, whatever the ids are, unless a source repeats one row.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stash
+
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-#: Neighbouring doc_ids that one window may hold for one source and size.
-BLOCK_IDS = 1 << 16
+#: Hexadecimal digits of the hash that number its block.
+DIGITS = 3
 
 
 def size_of(text: Column) -> Column:
@@ -50,16 +53,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return w.withColumn("target", F.least("most", F.coalesce(F.col("weight") * level, F.col("most")))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 20) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 20, keep_text: bool = True) -> DataFrame:
     """Rows of docs(doc_id, text, source, ...) with size, source_size, target (of the source) and copies (0 to ceil(most)).
 
-    A null text has size 0; a null source is a source of its own, after all others. Rows with equal doc_id and size rank
-    in any order, so reruns agree on how often each pair of them is taken. A source of size 0 has target 0 and is not
-    taken. Columns of docs with the names made here are replaced.
+    A null text has size 0; a null source is a source of its own, after all others. Rows with equal doc_id, text and source
+    are interchangeable; reruns agree on how often each id and text is taken. A source of size 0 has target 0 and is not
+    taken. Columns of docs with the names made here are replaced. Texts are read twice, once for the counts; without
+    keep_text the result has none, and they are read once.
     """
-    sized = docs.withColumns({"source": F.col("source").cast("string"), "size": size_of(F.col("text").cast("string")), "_block": F.coalesce(F.floor(F.col("doc_id") / BLOCK_IDS), F.lit(-1).cast("long"))})
-    sized = sized.drop("source_size", "target", "copies", "_rank", "_before", "_step", "_start", "_key").withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    blocks = sized.groupBy("_key", "size", "_block").agg(F.first("source").alias("source"), F.count("*").alias("n"))
+    text = F.col("text").cast("string")
+    place_of = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce(text, F.lit(""))))
+    sized = docs.drop("source_size", "target", "copies", "_rank", "_before", "_step", "_start", "_key").withColumns({"source": F.col("source").cast("string"), "size": size_of(text), "_order": place_of})
+    sized = sized.withColumns({"_block": F.substring("_order", 1, DIGITS), "_key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))})
+    sized = sized if keep_text else stash(sized.drop("text"))
+    blocks = stash(sized.groupBy("_key", "size", "_block").agg(F.first("source").alias("source"), F.count("*").alias("n")))
     by_size = blocks.groupBy("_key", "size").agg(F.first("source").alias("source"), F.sum("n").alias("n"))
     of = targets(by_size.groupBy("_key").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size")).drop("_key"), weights, share, most)
     of = of.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_key"), "source_size", "target", F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)).alias("_step"), offset_of(F.col("source"), seed).alias("_start"))
@@ -68,8 +75,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     within = Window.partitionBy("_key", "size").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     place = blocks.select("_key", "size", "_block", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("_earlier")).join(by_size, ["_key", "size"])
     place = place.select("_key", "size", "_block", (F.col("_first") + F.col("_earlier")).alias("_before"), "source_size", "target", "_step", "_start")
-    rank = F.row_number().over(Window.partitionBy("_key", "size", "_block").orderBy("doc_id"))
+    rank = F.row_number().over(Window.partitionBy("_key", "size", "_block").orderBy("_order"))
     ranked = sized.join(place, ["_key", "size", "_block"]).withColumn("_rank", F.col("_before") + rank)
     end = lambda rank: F.floor(F.col("_start") + F.col("_step") * rank)
     taken = ranked.withColumn("copies", end(F.col("_rank")) - end(F.col("_rank") - 1))
-    return taken.drop("_key", "_block", "_rank", "_before", "_step", "_start")
+    return taken.drop("_key", "_order", "_block", "_rank", "_before", "_step", "_start")

@@ -42,18 +42,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
     return mixed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     seven = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.digests(chat.records_of(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(seven)))
+    return chat.digests(chat.records_of(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(seven), mixed=True)).drop("n_unmapped")
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """
 
 _OP5 = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_UNSPACED}')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_UNSPACED}')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')) AS place FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS most FROM s),
 v AS (SELECT *, most / weight AS lim FROM w),
@@ -112,7 +112,7 @@ f AS (SELECT level AS common FROM l WHERE level <= lim ORDER BY lim, source NULL
 t AS (SELECT source, source_size, least(most, coalesce(weight * (SELECT common FROM f), most)) AS target FROM l),
 k AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size END AS step,
   CAST(('0x' || substr(md5('20/' || coalesce(d.source, '')), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS start,
-  row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) AS r FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.place) AS r FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST((floor(start + step * r) - floor(start + step * (r - 1))) AS BIGINT) * size AS taken FROM k
 """
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,28 +14,72 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 
 
+_local: dict[str, str] = {}
+_open: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. On a local master, where it may be unset, a temporary one; on a cluster that would be a folder of one machine, so it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return _local[app]
 
 
 def stash(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder, so that a lost executor costs a read and not the work before it.
 
-    The tables are left to whoever clears that folder: the caller's frame reads them lazily.
+    The caller's frame reads the tables lazily, so they stay until the folder is cleared, or until scratch() ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _open[-1:]:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that were stashed inside; results must be written before it ends."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Rows of df with (left_semi) or without (left_anti) a key in ids. ids goes out by broadcast after it was counted, up to BROADCAST_IDS, else by a shuffle."""
     ids = ids.select(key).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, key, how)
+
+
+def salted(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows joined with side on columns `on`, whatever part of rows one key holds.
+
+    Keys with more rows than a quarter of an even task's are found first, from counts(on, n) where the caller has them; at
+    most four for each shuffle partition can exist, so they are broadcast. Their rows are dealt by hash over as many parts
+    as they have such shares, and their rows in side are copied to each: eight copies for each shuffle partition in all.
+    Without counts `rows` is read twice, so it should be a stash. Null keys meet nothing.
+    """
+    spark = rows.sparkSession
+    counts = rows.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts.select(*on, "n")
+    share = max(1, (counts.agg(F.sum("n")).head()[0] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    held = counts.where(F.col("n") > share).where(" and ".join(f"{c} is not null" for c in on))
+    hot = [(*(r[c] for c in on), -(-r["n"] // share)) for r in held.collect()]
+    if not hot:
+        return rows.join(side, on, how)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in held.select(*on).schema]
+    hot = F.broadcast(spark.createDataFrame(hot, ", ".join([*kinds, "_parts int"])))
+    dealt = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*rows.columns), "_parts")).otherwise(0).cast("int")).drop("_parts")
+    copied = side.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")

@@ -4,7 +4,7 @@ A suffix is kept where the hash of the next GRAM words is the smallest of `windo
 repeated both copies keep suffixes at the same of its words, and of any repeated passage of `least` words one kept
 suffix begins early enough to share `least - window + 1` words. The kept suffixes of all documents are sorted by
 those words, and one that equals a neighbour is a place to extend from: to the left and right, by comparing the
-`least`-word stretches around it, as far as they occur elsewhere too.
+`least`-word stretches around it, by 96 bits of hash, as far as they occur elsewhere too.
 
 Documents whose words are all equal are told apart first, and only the one with the smallest doc_id is searched, so a
 large group of copies costs one text.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import only, stash
+from .store import only, salted, stash
 
 LEAST = 50
 WINDOW = 20
@@ -103,9 +103,10 @@ def _stretches(least: int, window: int):
             start = start[start + least <= w.first[1:][w.text_of_word()[start]]]
             owner = w.text_of_word()[start]
             each = np.bincount(owner, minlength=batch.num_rows)
+            check = (tx.prefix_powers(tx.mix(w.hashes), least)[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), tx.listed((start - w.first[owner]).astype(np.int32), each, pa.int32()), tx.listed(tx.prefix_powers(w.hashes, least)[start].view(np.int64), each, pa.int64())],
-                ["doc_id", "start", "stretch"],
+                [batch.column("doc_id"), tx.listed((start - w.first[owner]).astype(np.int32), each, pa.int32()), tx.listed(tx.prefix_powers(w.hashes, least)[start].view(np.int64), each, pa.int64()), tx.listed(check, each, pa.int32())],
+                ["doc_id", "start", "stretch", "check"],
             )
 
     return run
@@ -123,20 +124,21 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, window: int = WINDOW)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     made = stash(docs.mapInArrow(_suffixes(least, window), "doc_id long, n_words long, c1 long, c2 long, at array<int>, suffix array<long>").where(F.col("n_words") >= least))
     heads = made.groupBy("c1", "c2").agg(F.min("doc_id").alias("head"), F.max("n_words").alias("n_words"), F.count("*").alias("n")).where("n > 1")
-    same = stash(made.select("doc_id", "c1", "c2").join(heads, ["c1", "c2"]).select("doc_id", "head", "n_words").distinct())
+    same = stash(salted(made.select("doc_id", "c1", "c2"), heads.drop("n"), ["c1", "c2"]).select("doc_id", "head", "n_words").distinct())
     copies = same.where("doc_id <> head")
 
     rows = only(made, copies, "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("at", "suffix")).alias("x")).select("doc_id", "x.at", "x.suffix")
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = stash(rows)
     found = rows.repartitionByRange(parts, "suffix", "doc_id", "at").sortWithinPartitions("suffix", "doc_id", "at").mapInArrow(_neighbours, "doc_id long, at int")
     places = stash(found.groupBy("doc_id").agg(F.collect_set("at").alias("places")))
 
     texts = only(docs, places, "doc_id").join(places, "doc_id")
-    stretches = stash(texts.mapInArrow(_stretches(least, window), "doc_id long, start array<int>, stretch array<long>"))
-    each = stretches.select("doc_id", F.explode(F.arrays_zip("start", "stretch")).alias("x")).select("doc_id", "x.start", "x.stretch").distinct()
-    first = each.groupBy("stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").drop("n")
-    again = each.join(first, "stretch").select("doc_id", "start", (F.struct("doc_id", "start") != F.col("first")).alias("extra"))
+    stretches = stash(texts.mapInArrow(_stretches(least, window), "doc_id long, start array<int>, stretch array<long>, check array<int>"))
+    # 96 bits stand for the words of a stretch; several rows of one id may repeat a place, which changes nothing below
+    each = stretches.select("doc_id", F.explode(F.arrays_zip("start", "stretch", "check")).alias("x")).select("doc_id", "x.start", "x.stretch", "x.check")
+    place = F.struct("doc_id", "start")
+    first = stash(each.groupBy("stretch", "check").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
+    again = salted(each, first.drop("n"), ["stretch", "check"], counts=first).select("doc_id", "start", (F.struct("doc_id", "start") != F.col("first")).alias("extra"))
 
     order = Window.partitionBy("doc_id").orderBy("start")
     seen = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,19 @@ def test_chat_round_trip(spark):
     assert got[1].n_turns == 4 and got[1].loss_chars == 2 * len(said) and got[None].n_turns == 1
 
 
+def test_chat_records_of_any_kind(spark):
+    records = [
+        (1, 0, None), (1, 1, "no json"), (1, 2, "[1]"), (1, 3, '{"messages": null}'), (1, 4, '{"messages": ["a", {"role": "user", "content": "q"}]}'), (1, 5, "[" * 5000),
+        (2, 0, '{"id": 7, "messages": [{"role": "bot", "name": "x", "content": [{"type": "text", "text": "q"}, {"type": "text", "text": "!"}]}]}'),
+        (3, 0, '{"role": "gpt", "text": "stays"}'), (4, 0, '{"conversations": [{"from": "gpt", "value": "a"}]}'),
+    ]
+    got = {r.conv_id: r for r in chat.digests(spark.createDataFrame(records, "conv_id long, place long, record string")).collect()}
+    assert (got[1].n_turns, got[1].n_unmapped) == (1, 5) and [got[i].n_unmapped for i in (2, 3, 4)] == [0, 0, 0]
+    assert [got[i].loss_chars for i in (2, 3, 4)] == [0, 0, 1]
+    rows = {(r.conv_id, r.place): r for r in chat.format_records(spark.createDataFrame(records, "conv_id long, place long, record string")).collect()}
+    assert rows[1, 0].layout is None and rows[1, 3].layout is not None and "bot" in rows[2, 0].formatted and "q!" in rows[2, 0].formatted and "gpt" in rows[3, 0].formatted
+
+
 def test_chat_layouts(spark):
     records = [
         (1, 0, '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}'),
@@ -161,3 +176,52 @@ def test_rows_that_share_an_id_add_one_text_to_the_sample(spark):
     known = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, y int")
     rows, _ = learn.sample(shared.union(spark.createDataFrame([(2, None), (2, None), (9, "x")], "doc_id long, text string")), known, "y", 1, 1, 10)
     assert sorted((r.doc_id, r.y, r.text == "") for r in rows.collect()) == [(1, 0, False), (2, 1, True)]
+
+
+def test_mix_of_sparse_and_null_ids(spark):
+    """Windows stay small and reruns agree, texts included, whatever the ids are."""
+    docs = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.xxhash64("id")).alias("doc_id"), F.concat(F.lit("w "), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    runs = [sorted((repr(r.doc_id), r.text, r.copies) for r in mixing.mix(d, share=0.5).collect()) for d in (docs, docs.repartition(7))]
+    assert runs[0] == runs[1] and abs(sum(c for *_, c in runs[0]) - 1000) <= 1
+
+
+def test_salted_join(spark):
+    from cadenza.llm.store import salted
+
+    rows = spark.createDataFrame([(1, i) for i in range(500)] + [(i, i) for i in range(2, 60)] + [(None, 1)], "k long, v long")
+    side = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (99, "d"), (None, "e")], "k long, s string")
+    for how in ("inner", "left"):
+        same = lambda df: sorted(map(repr, df.select("k", "v", "s").collect()))
+        assert same(salted(rows, side, ["k"], how)) == same(rows.join(side, "k", how))
+
+
+def test_scratch_deletes_what_was_stashed(spark):
+    from cadenza.llm import store
+
+    with store.scratch(spark):
+        kept = store.stash(spark.range(3))
+        path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
+STAGED = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "w " * 20_000, "en", "a", 40_000), (4, "same words here", "en", "b", 15), (5, "same words here", "en", "b", 15), (5, "same words here", "en", "b", 15), (None, "same words here", None, "b", 15), (6, "token=abcdefgh12345678", "de", None, 22)]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_any_rows(spark, name, tmp_path):
+    """Nulls, empty and long texts, repeated rows, an empty table and a clashing column."""
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(STAGED, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("clash") for c in ("score", "size", "secrets", "link", "component_id", "copies", "hit_words")})
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, docs, str(tmp_path))
+    rows = got.collect()
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert got.columns[:5] == list(corpus_pipeline.COLUMNS) and all(c in got.columns for c in corpus_pipeline.COLUMNS)
+    if name in ("decontamination", "secrets"):
+        assert len(rows) == len(STAGED)
+    if name == "near_dedup":
+        assert sorted(r.doc_id for r in rows) == [1, 2, 3, 4, 6]
+    if name == "secrets":
+        assert [r.text for r in rows if r.doc_id == 6] == ["[SECRET]"]
