@@ -58,3 +58,39 @@ def note_confidence(salience: Column, stability: Column, timing: Column, agreeme
 def timing_score(error: Column, tolerance: float = 0.25) -> Column:
     """1 for a note on the grid, 0 from `tolerance` beats off on."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(error) / max(tolerance, 1e-6)))
+
+
+def bin_to_midi(place: Column, reference: float = 55.0, cents: float = 10.0) -> Column:
+    """A bin of a pitch salience grid, counted from `reference` Hz, as a MIDI number."""
+    return 69 + 12 * F.log2(F.lit(reference) * F.pow(F.lit(2.0), place * cents / 1200) / 440)
+
+
+#: Sharps of the major key on each pitch class (negative: flats), what modes take off, and names.
+MAJOR_SHARPS = (0, -5, 2, -3, 4, -1, 6, 1, -4, 3, -2, 5)
+MODES = {"major": 0, "mixolydian": -1, "dorian": -2, "minor": -3}
+SHARP_NAMES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
+FLAT_NAMES = ("C", "D-", "D", "E-", "E", "F", "G-", "G", "A-", "A", "B-", "B")
+
+
+def key_signature(tonic: Column, mode: Column) -> Column:
+    """Sharps (negative: flats) of a mode on a pitch class, those of its major key less what the mode takes off; an unknown mode is major. Within 7 either way."""
+    less = F.lit(0)
+    for name, by in MODES.items():
+        less = F.when(mode == name, by).otherwise(less)
+    sharps = F.element_at(F.array(*map(F.lit, MAJOR_SHARPS)), F.pmod(tonic, F.lit(12)).cast("int") + 1) + less
+    return F.when(sharps > 7, sharps - 12).when(sharps < -7, sharps + 12).otherwise(sharps)
+
+
+def key_name(tonic: Column, mode: Column) -> Column:
+    """As in "A mixolydian"; with flats where the signature has them."""
+    name = lambda names: F.element_at(F.array(*map(F.lit, names)), F.pmod(tonic, F.lit(12)).cast("int") + 1)
+    return F.concat_ws(" ", F.when(key_signature(tonic, mode) < 0, name(FLAT_NAMES)).otherwise(name(SHARP_NAMES)), mode)
+
+
+def parse_key(text: Column) -> Column:
+    """struct(tonic, mode) of a name as key_name() gives it; a missing or unknown mode is major, an unknown root gives a null tonic."""
+    parts = F.split(F.trim(text), "[ \t]+")
+    mode = F.lower(F.get(parts, F.lit(1)))
+    place = lambda names: F.nullif(F.array_position(F.array(*map(F.lit, names)), F.get(parts, F.lit(0))), F.lit(0))
+    tonic = F.coalesce(place(SHARP_NAMES), place(FLAT_NAMES)) - 1
+    return F.struct(tonic.cast("int").alias("tonic"), F.when(mode.isin(*MODES), mode).otherwise("major").alias("mode"))

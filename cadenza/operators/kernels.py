@@ -2,32 +2,71 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+class _Level:
+    """The pitches of a note so far, of which the last `memory` count, kept sorted."""
+
+    def __init__(self, memory: int, pitch: float):
+        self.memory, self.recent, self.ordered = memory, deque([pitch]), [pitch]
+
+    def add(self, pitch: float) -> None:
+        self.recent.append(pitch)
+        insort(self.ordered, pitch)
+        if len(self.recent) > self.memory:
+            del self.ordered[bisect_left(self.ordered, self.recent.popleft())]
+
+    def median(self) -> float:
+        n = len(self.ordered)
+        return (self.ordered[(n - 1) // 2] + self.ordered[n // 2]) / 2
+
+
 def split_runs(frames: DataFrame, off: float = 0.65, persist: int = 2, memory: int = 64) -> DataFrame:
-    """Cuts voiced runs (rec, run, frame, midi) where the pitch leaves the median of the last accepted frames by more than `off` for `persist` frames: rec, run, note_start, note_end (exclusive)."""
-
-    def cut(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("frame")
-        frame, midi = group["frame"].to_numpy(), group["midi"].to_numpy()
-        starts, held, pending = [0], [midi[0]], 0
-        for i in range(1, len(midi)):
-            if abs(midi[i] - np.median(held[-memory:])) > off:
-                pending += 1
-                if pending >= persist:
-                    starts.append(i - pending + 1)
-                    held, pending = list(midi[i - pending + 1 : i + 1]), 0
-            else:
-                pending = 0
-                held.append(midi[i])
-        ends = [*starts[1:], len(midi)]
-        return pd.DataFrame({"rec": group["rec"].iloc[0], "run": group["run"].iloc[0], "note_start": frame[starts], "note_end": frame[np.array(ends) - 1] + 1})
+    """Cuts voiced runs (rec, run, frame, midi) where the pitch leaves the median of the note's last accepted frames by more than `off` for `persist` frames in a row: rec, run, note_start, note_end (exclusive).
 
-    return frames.select(F.col("rec").cast("long"), F.col("run").cast("long"), F.col("frame").cast("long"), F.col("midi").cast("double")).groupBy("rec", "run").applyInPandas(cut, "rec long, run long, note_start long, note_end long")
+    The new note begins with the first of these frames, and its median with the last of them. Runs stream through their
+    task frame by frame, so a long one takes no more memory than a short one. Null pitches are left out.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run_of, level, away, begin, last = None, None, [], None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for rec, run, frame, midi in zip(*(batch.column(c).to_pylist() for c in ("rec", "run", "frame", "midi")), strict=True):
+                if (rec, run) != run_of:
+                    if run_of is not None:
+                        out.append((*run_of, begin, last + 1))
+                    run_of, level, away, begin = (rec, run), _Level(memory, midi), [], frame
+                elif abs(midi - level.median()) <= off:
+                    level.add(midi)
+                    away = []
+                else:
+                    # with each frame that is away, the one before it, where the note may end
+                    away.append((last, frame))
+                    if len(away) >= persist:
+                        out.append((*run_of, begin, away[0][0] + 1))
+                        level, begin, away = _Level(memory, midi), away[0][1], []
+                last = frame
+            yield _notes(out)
+        if run_of is not None:
+            yield _notes([(*run_of, begin, last + 1)])
+
+    def _notes(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rec", "run", "note_start", "note_end"])
+
+    typed = frames.select(F.col("rec").cast("long"), F.col("run").cast("long"), F.col("frame").cast("long"), F.col("midi").cast("double")).where("midi is not null")
+    return typed.repartition("rec", "run").sortWithinPartitions("rec", "run", "frame").mapInArrow(cut, "rec long, run long, note_start long, note_end long")
 
 
 def align(pairs: DataFrame) -> DataFrame:
@@ -65,32 +104,67 @@ def align(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "rec long, score double, exact long, octave long, other long, gaps long")
 
 
-def select_voice(events: DataFrame, floor: int = 64, back: float = 2.0) -> DataFrame:
-    """events(rec, start, end, pitch, amp): the best single line through overlapping notes of a recording. A note is worth its loudness by length (up to 0.6 s); steps cost by interval, octaves and overlaps more, gaps by length; a note follows one that starts strictly earlier, at most `back` seconds."""
+@dataclass(frozen=True)
+class VoiceCosts:
+    """Fixed values, in units of one ordinary note: worth by loudness and length, and what a following note costs."""
+
+    loud: float = 2.0
+    ordinary: float = 0.20
+    longest: float = 0.60
+    step: float = 0.02
+    leap_above: float = 5.0
+    leap: float = 0.05
+    octave: float = 0.40
+    octave_from: float = 11.5
+    gap: float = 1.00
+    overlap: float = 1.50
+    restart: float = 0.80
+
+
+def best_line(start: np.ndarray, end: np.ndarray, pitch: np.ndarray, amp: np.ndarray, back: float, costs: VoiceCosts) -> tuple[list[int], float]:
+    """The notes of the line worth most, and its worth; notes are in order of start. The first of ties."""
+    worth = costs.loud * amp * np.minimum(end - start, costs.longest) / costs.ordinary
+    score, parent = worth - costs.restart, np.full(len(worth), -1)
+    low, high = np.searchsorted(start, start - back, "left"), np.searchsorted(start, start, "left")
+    for i in range(len(worth)):
+        before = slice(low[i], high[i])
+        if low[i] == high[i]:
+            continue
+        far, apart = np.abs(pitch[before] - pitch[i]), start[i] - end[before]
+        cost = costs.step * far + costs.leap * np.maximum(0.0, far - costs.leap_above) + costs.octave * (far >= costs.octave_from)
+        cost += costs.gap * np.maximum(0.0, apart) + costs.overlap * np.maximum(0.0, -apart)
+        total = score[before] + worth[i] - cost
+        best = int(total.argmax())
+        if total[best] > score[i]:
+            score[i], parent[i] = total[best], low[i] + best
+    at, line = int(score.argmax()), []
+    most = float(score[at])
+    while at >= 0:
+        line.append(at)
+        at = int(parent[at])
+    return line[::-1], most
+
+
+def select_voice(events: DataFrame, floor: int = 64, back: float = 2.0, costs: VoiceCosts = VoiceCosts()) -> DataFrame:  # noqa: B008
+    """events(rec, start, end, pitch, amp): the best single line through the overlapping notes of a recording, of those at `floor` or higher that have a length: rec, start, end, pitch.
+
+    A note is worth its loudness by length; intervals, leaps, octaves, gaps and overlaps cost, and so does a line that
+    begins. A note follows one that starts strictly earlier, by `back` seconds at most, so where none does a recording is
+    cut: its parts are separate tasks, and the best part's line is the recording's (the earliest of ties).
+    """
 
     def line(group: pd.DataFrame) -> pd.DataFrame:
-        g = group[group["pitch"] >= floor].sort_values(["start", "end", "pitch"]).reset_index(drop=True)
-        if g.empty:
-            return g[["rec", "start", "end", "pitch"]]
-        start, end, pitch = g["start"].to_numpy(), g["end"].to_numpy(), g["pitch"].to_numpy()
-        reward = 2 * g["amp"].to_numpy() * np.minimum(end - start, 0.6) / 0.2
-        score, from_ = reward.copy(), np.full(len(g), -1)
-        low = np.searchsorted(start, start - back, "left")
-        for i in range(len(g)):
-            j = np.arange(low[i], np.searchsorted(start, start[i], "left"))
-            if len(j):
-                d = np.abs(pitch[i] - pitch[j])
-                cost = 0.15 * d + 0.6 * np.maximum(0, d - 7) / 5 + 0.8 * (d == 12) + 0.5 * np.maximum(0, start[i] - end[j]) + 2.0 * np.maximum(0, end[j] - start[i])
-                total = score[j] - cost
-                if total.max() > 0:
-                    score[i], from_[i] = reward[i] + total.max(), j[total.argmax()]
-        at, kept = int(score.argmax()), []
-        while at >= 0:
-            kept.append(at)
-            at = from_[at]
-        return g.loc[kept[::-1], ["rec", "start", "end", "pitch"]]
-
-    return events.groupBy("rec").applyInPandas(line, "rec long, start double, end double, pitch int")
+        g = group.sort_values(["start", "end", "pitch", "amp"]).reset_index(drop=True)
+        kept, most = best_line(*(g[c].to_numpy(float) for c in ("start", "end", "pitch", "amp")), back, costs)
+        return g.loc[kept, ["rec", "part", "start", "end", "pitch"]].assign(worth=most)
+
+    by = Window.partitionBy("rec").orderBy("start")
+    held = events.select(F.col("rec").cast("long"), F.col("start").cast("double"), F.col("end").cast("double"), F.col("pitch").cast("int"), F.col("amp").cast("double"))
+    held = held.where((F.col("pitch") >= floor) & (F.col("end") > F.col("start")))
+    parts = held.withColumn("part", F.sum(F.when(F.col("start") - F.lag("start").over(by) <= back, 0).otherwise(1)).over(by))
+    lines = parts.groupBy("rec", "part").applyInPandas(line, "rec long, part long, start double, end double, pitch int, worth double")
+    best = F.min_by("part", F.struct(-F.col("worth"), "part")).over(Window.partitionBy("rec"))
+    return lines.withColumn("best", best).where("part = best").select("rec", "start", "end", "pitch")
 
 
 def leaders(pairs: DataFrame, threshold: float, most: int = 3) -> DataFrame:
