@@ -73,7 +73,10 @@ def salted(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner",
     """
     spark = rows.sparkSession
     counts = rows.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts.select(*on, "n")
-    share = max(1, (counts.agg(F.sum("n")).head()[0] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).head()
+    share = max(1, seen["all"] // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    if seen["most"] <= share:
+        return rows.join(side, on, how)
     held = counts.where(F.col("n") > share).where(" and ".join(f"{c} is not null" for c in on))
     hot = [(*(r[c] for c in on), -(-r["n"] // share)) for r in held.collect()]
     if not hot:
