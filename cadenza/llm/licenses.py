@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +62,8 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "n_words": pa.array(w.counts.astype(np.int64)),
             "places": tx.listed((at - w.first[text[at]]).astype(np.int32), each, pa.int32()),
             "hashes": tx.listed(hashes, each, pa.int64()),
-            "text": pc.if_else(pa.array(each > 0), batch.column("text"), pa.scalar(None, batch.column("text").type)),
+            # a null index takes a null
+            "text": batch.column("text").take(pa.array(np.arange(batch.num_rows), mask=each == 0)),
         }
         yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 

@@ -223,6 +223,17 @@ def test_licenses(spark):
         assert set(base) <= set(row.labels.split(",")) | {""} and 0 <= row.score <= 1
 
 
+def test_texts_stay_only_where_a_template_has_their_grams():
+    """On slices of a batch as well."""
+    texts = [None, "", "all rights reserved", "nothing here", "é cc by", "x" * 50] * 40
+    columns = {"doc_id": pa.array(range(240)), "text": pa.array(texts), "key": pa.array(range(240)), "n_words": pa.array([0] * 240), "places": pa.array([[]] * 240, pa.list_(pa.int32())), "hashes": pa.array([[]] * 240, pa.list_(pa.int64()))}
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    for part in (batch, batch.slice(3, 100), batch.slice(231, 9), batch.slice(5, 1)):
+        (got,) = licenses._grams(iter([part]))
+        got.validate(full=True)
+        assert got.column("text").to_pylist() == [t if t in (texts[2], texts[4]) else None for t in part.column("text").to_pylist()]
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
