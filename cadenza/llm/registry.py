@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, licenses, minhash, mixing, quality, secret_scan, suffixes, toxicity
+from . import byte_bpe, chat, decontaminate, divergence, fingerprints, licenses, minhash, mixing, prefix_trie, quality, secret_scan, suffixes, toxicity
 
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UNSPACED = r"[^\x20\x09-\x0D]+"
 
 
@@ -68,8 +69,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    said = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2(byte_bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_decontamination, op4_secrets, op5_mixing, op6_chat_format, op7_minhash_dedup, op8_toxicity, op9_licenses, op10_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_decontamination, op4_secrets, op5_mixing, op6_chat_format, op7_minhash_dedup, op8_toxicity, op9_licenses, op10_quality, op11_prefix_trie, op12_divergence, op13_byte_bpe)}
 
 
 _OP1 = rf"""
@@ -141,5 +159,45 @@ SELECT c.doc_id, CAST(c.m AS BIGINT) AS n_shingles, min(root) AS component_id, c
 """
 
 
+_OP11 = rf"""
+WITH RECURSIVE t AS (SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT c, sha256(len(role) || ':' || role || text) AS said, len(regexp_extract_all(text, '{_UNSPACED}')) AS words,
+  row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(len(role) || ':' || role || text)) AS place FROM t),
+crc(c, s, i, x) AS (SELECT DISTINCT c, CAST(c AS VARCHAR), 0, 4294967295::BIGINT FROM p UNION ALL
+  SELECT c, s, i + 1, xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END::BIGINT) FROM (SELECT c, s, i, xor(x, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END::BIGINT) AS y FROM crc WHERE i < 8 * len(s))),
+convs AS (SELECT crc.c, crc.c - crc.c % 20 AS head, xor(x, 4294967295::BIGINT) % 4 AS h FROM crc WHERE i = 8 * len(s)),
+held AS (SELECT k.*, least(h, coalesce(b.n, 0)) AS lent FROM convs k LEFT JOIN (SELECT c, count(*) AS n FROM p GROUP BY c) b ON b.c = k.head),
+r AS (SELECT k.c, p.place AS d, said, words FROM held k JOIN p ON p.c = k.head AND p.place <= k.lent
+  UNION ALL SELECT k.c, p.place - k.h + k.lent, said, words FROM held k JOIN p ON p.c = k.c AND p.place > k.h),
+pre AS (SELECT c, d, words, md5(string_agg(said, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS k FROM r UNION ALL SELECT c, 0, 0, 'root' FROM convs),
+n AS (SELECT k, min(c) AS conv_id, min(d) AS depth, min(words) AS words, count(*) AS n_convs FROM pre GROUP BY k),
+up AS (SELECT DISTINCT b.k, a.k AS pk FROM pre a JOIN pre b ON b.c = a.c AND b.d = a.d + 1),
+kids AS (SELECT pk AS k, count(*) AS n_children FROM up GROUP BY pk),
+sub AS (SELECT a.k, sum(CASE WHEN kids.k IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((m.n_convs - 1) * m.words) AS saved_tokens
+  FROM n m JOIN pre a ON a.c = m.conv_id AND a.d <= m.depth LEFT JOIN kids ON kids.k = m.k GROUP BY a.k),
+ends AS (SELECT k, string_agg(CAST(pre.c AS VARCHAR), ',' ORDER BY pre.c) AS ids FROM pre JOIN (SELECT c, max(d) AS d FROM pre GROUP BY c) e ON e.c = pre.c AND e.d = pre.d GROUP BY k)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN sub ON sub.k = n.k LEFT JOIN up ON up.k = n.k LEFT JOIN n q ON q.k = up.pk LEFT JOIN kids ON kids.k = n.k LEFT JOIN ends ON ends.k = n.k
+"""
+
+_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '{_LETTERS}') AS ws FROM documents),
+w AS (SELECT id, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, source, w.term, count(*)::HUGEINT AS n FROM w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (coalesce(s.total, 0) + v.v) AS p, 1 + 1000000000 * (k.n + 1) // (v.total + v.v) AS q
+  FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": _OP1, "op3_decontamination": _OP3, "op5_mixing": _OP5, "op6_chat_format": _OP6, "op7_minhash_dedup": _OP7}
+    return {"op1_suffix_dedup": _OP1, "op3_decontamination": _OP3, "op5_mixing": _OP5, "op6_chat_format": _OP6, "op7_minhash_dedup": _OP7, "op11_prefix_trie": _OP11, "op12_divergence": _OP12}

@@ -63,6 +63,13 @@ def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> Dat
     return df.join(F.broadcast(ids) if few else ids, key, how)
 
 
+def attached(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with side, which has one row for each key: by broadcast after side was counted, up to BROADCAST_IDS rows, else with the rows of hot keys dealt over tasks. Both should be stashes or cheap to read twice."""
+    if side.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(side), on, how)
+    return salted(rows, side, on, how)
+
+
 def salted(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """rows joined with side on columns `on`, whatever part of rows one key holds.
 

@@ -21,6 +21,8 @@ SLICE_BYTES = 1 << 20
 _BYTES = np.arange(256)
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` once A-Z are lower-cased.
 ALNUM = ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | (_BYTES >= 0x80)
+#: `[^\x00-\x40\x5B-\x60\x7B-\x7F]` once A-Z are lower-cased.
+LETTERS = ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | (_BYTES >= 0x80)
 #: `[^\x20\x09-\x0D]`
 UNSPACED = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)))
 _LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -45,17 +47,22 @@ _OF_LENGTH = stream(3, 1)[0] | np.uint64(1)
 _OF_PLACE = stream(4, 4096) | np.uint64(1)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that the texts of each hold SLICE_BYTES at most, or are one text."""
+def cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of items whose sizes come to `most` at most, or of one item."""
+    total, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, before + most, "right")))
+        yield start, stop
+        start = stop
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that the texts of each hold `most` bytes at most, or are one text."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        total = np.cumsum(lengths)
-        start = 0
-        while start < batch.num_rows:
-            before = total[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(total, before + SLICE_BYTES, "right")))
+        for start, stop in cuts(lengths, most):
             yield batch.slice(start, stop - start)
-            start = stop
 
 
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +122,14 @@ def words(texts: pa.Array, kind: np.ndarray, lower: bool = True) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, at), hashes)
 
 
+def spelled(w: Words, which: np.ndarray) -> pa.Array:
+    """The words at the places `which` as strings."""
+    starts, lengths = w.starts[which], (w.ends - w.starts)[which]
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    taken = w.data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)]
+    return pa.StringArray.from_buffers(len(which), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(taken)))
+
+
 def stems(w: Words, which: np.ndarray, length: int) -> np.ndarray:
     """A hash for the first `length` bytes of each word that `which` marks; such words are longer than that."""
     at = w.starts[which]
