@@ -71,9 +71,9 @@ def bass_coupling(melody: DataFrame, bass: DataFrame, least: int = 500, toleranc
     return counts.join(modes, "rec").groupBy("rec").agg(F.when(F.first("frames") >= least, share).alias("coupling"), F.first("frames").alias("frames"))
 
 
-def persistence(pitches: DataFrame, hop: float, width: float = 0.5) -> DataFrame:
-    """pitches(rec, frame, midi), several to a frame: for how long, in seconds, frames on both sides have a pitch in the same bin or a neighbouring one."""
-    binned = pitches.withColumn("bin", F.rint(F.col("midi") / width).cast("long"))
+def persistence(pitches: DataFrame, hop: float, width: float = 0.5, bins: Column | None = None) -> DataFrame:
+    """pitches(rec, frame, midi), several to a frame: for how long, in seconds, frames on both sides have a pitch in the same bin or a neighbouring one. Bins are `width` semitones about its multiples, or as the column bins says."""
+    binned = pitches.withColumn("bin", (F.rint(F.col("midi") / width) if bins is None else bins).cast("long"))
     marked = binned.select("rec", "frame", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")).distinct()
     islands = marked.withColumn("g", F.col("frame") - F.row_number().over(Window.partitionBy("rec", "bin").orderBy("frame")))
     held = islands.withColumn("held", F.count("*").over(Window.partitionBy("rec", "bin", "g")) * F.lit(hop)).select("rec", "frame", "bin", "held")
