@@ -30,7 +30,9 @@ from . import text as tx
 #: Small maps that the ranks are spread over.
 MAPS = 1 << 15
 #: Bytes of texts in a block. Bytes of the longest word that is folded, which takes steps by length squared; longer ones are merged with a heap, alike.
-BLOCK, FOLDED = 16 << 20, 64
+BLOCK, FOLDED = 32 << 20, 64
+#: Words of a block whose ids are put together at once.
+WORDS = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -129,19 +131,46 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return found
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
-    """Of each block: its number, a digest of all it holds; its rows; the words in each text; the number of each word; the words that have the numbers."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, pa.Array]]:
+    """Of each block: a digest of all it holds, its doc_ids, the words in each text, the number of each word, and the words that have the numbers, commonest first."""
+
+    def closed() -> tuple:
+        lists = pa.chunked_array([x.column("words") for x in held]).combine_chunks()
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        numbers = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(-np.bincount(numbers, minlength=len(coded.dictionary)), kind="stable")
+        of = np.empty(len(order), np.int32)
+        of[order] = np.arange(len(order), dtype=np.int32)
+        numbers, words = of[numbers], coded.dictionary.take(pa.array(order))
+        digest = hashlib.blake2b(digest_size=8)
+        for x in (counts, numbers, "\n".join(f"{len(w)}:{w}" for w in words.to_pylist()).encode()):
+            digest.update(x)
+        doc_ids = pa.chunked_array([x.column("doc_id") for x in held]).combine_chunks()
+        return int.from_bytes(digest.digest(), "little", signed=True), doc_ids, counts, numbers, words
+
+    held, size = [], 0
     for batch in batches:
         for start, stop in tx.cuts(batch.column("bytes").to_numpy(), BLOCK):
             part = batch.slice(start, stop - start)
-            lists = part.column("words")
-            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            coded = lists.flatten().dictionary_encode()
-            numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-            digest = hashlib.blake2b(digest_size=8)
-            for x in (counts, numbers, "\n".join(f"{len(w)}:{w}" for w in coded.dictionary.to_pylist()).encode()):
-                digest.update(x)
-            yield int.from_bytes(digest.digest(), "little", signed=True), part, counts, numbers, coded.dictionary
+            more = pc.sum(part.column("bytes")).as_py()
+            if held and size + more > BLOCK:
+                yield closed()
+                held, size = [], 0
+            held.append(part)
+            size += more
+    if held:
+        yield closed()
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """The bytes of same weight together: common words have small numbers, so the upper ones are mostly zero."""
+    return pa.compress(b"".join((numbers >> shift).astype(np.uint8).tobytes() for shift in (0, 8, 16, 24)), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return sum(plane.astype(np.int32) << shift for plane, shift in zip(planes, (0, 8, 16, 24), strict=True))
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +180,10 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, part, counts, numbers, words in _blocks(batches):
+    for block, doc_ids, counts, numbers, words in _blocks(batches):
         at = np.flatnonzero(pc.binary_length(words).to_numpy() > FOLDED).astype(np.int32)
         one = lambda x: tx.listed(x, np.array([len(x)]), x.type if isinstance(x, pa.Array) else None)
-        packed = pa.compress(numbers.tobytes(), "zstd", asbytes=True)
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(words)], pa.int32()), one(part.column("doc_id")), one(counts), pa.array([packed], pa.binary()), one(at), one(words.take(pa.array(at)))], ["block", "n", "doc_id", "counts", "numbers", "long_at", "long"])
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(words)], pa.int32()), one(doc_ids), one(counts), pa.array([_packed(numbers)], pa.binary()), one(at), one(words.take(pa.array(at)))], ["block", "n", "doc_id", "counts", "numbers", "long_at", "long"])
 
 
 def _encoded(ranks: dict[bytes, int]):
@@ -180,12 +208,15 @@ def _encoded(ranks: dict[bytes, int]):
             if row["n"] and not lengths.all():
                 raise RuntimeError("the texts were not the same when read again; encode a written table")
             flat, counts = np.concatenate(flat), np.array(row["counts"], np.int64)
-            numbers = np.frombuffer(pa.decompress(row["numbers"], int(counts.sum()) * 4, "zstd", asbytes=True), np.int32)
-            each = lengths[numbers]
-            ends = np.cumsum(each)
-            ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[numbers] - ends + each, each)]
-            of_text = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-            made.append(pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "ids": tx.listed(ids.astype(np.int32), np.diff(of_text), pa.int32())}))
+            numbers, first = _unpacked(row["numbers"], int(counts.sum())), 0
+            for start, stop in tx.cuts(counts, WORDS):
+                some = numbers[first : first + int(counts[start:stop].sum())]
+                first += len(some)
+                each = lengths[some]
+                ends = np.cumsum(each)
+                ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[some] - ends + each, each)]
+                of_text = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts[start:stop])])]
+                made.append(pa.table({"doc_id": pa.array(row["doc_id"][start:stop], pa.int64()), "ids": tx.listed(ids.astype(np.int32), np.diff(of_text), pa.int32())}))
         return pa.concat_tables(made) if made else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
 
     return run
@@ -209,10 +240,41 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_encoded(ranks), "doc_id long, ids array<int>")
 
 
-def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes that an array of ids stands for: the tokens' bytes, one after the other. Unknown ids give nothing."""
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id; of an unknown one none."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token.decode("latin-1")
-    table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""), "ISO-8859-1")
+        pieces[rank] = token
+    return pieces
+
+
+def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """coded(ids, ...) with bytes, the tokens' bytes one after the other; null ids are none. A column bytes is replaced."""
+    pieces = _pieces(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = pa.array((b"".join(map(pieces.__getitem__, ids or ())) for ids in (x.as_py() if x.is_valid else None for x in batch.column("ids"))), pa.binary())
+            yield pa.RecordBatch.from_arrays([said if c == "bytes" else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+    held = coded.withColumn("bytes", F.lit(b""))
+    return held.mapInArrow(run, held.schema)
+
+
+def digests(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """coded(doc_id, ids) to doc_id, n_tokens, ids_sha256 (of the ids in decimal, joined by a space) and decoded_sha256 (of the bytes that the ids stand for)."""
+    pieces = _pieces(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said = [str(i) for i in range(len(pieces))]
+        for batch in batches:
+            lists = batch.column("ids")
+            ends = np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy(zero_copy_only=False)]))
+            flat, made = lists.flatten(), ([], [])
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                ids = flat.slice(a, b - a).to_pylist()
+                made[0].append(hashlib.sha256(" ".join(map(said.__getitem__, ids)).encode()).hexdigest())
+                made[1].append(hashlib.sha256(b"".join(map(pieces.__getitem__, ids))).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), *map(pa.array, made)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -81,9 +81,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    said = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2(byte_bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+    return byte_bpe.digests(byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

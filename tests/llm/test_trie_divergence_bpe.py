@@ -146,16 +146,19 @@ def library(ranks):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_bpe_as_the_library(spark, tmp_path, ranks, library):
+@pytest.mark.parametrize("block", [2000, 32 << 20])
+def test_bpe_as_the_library(spark, tmp_path, monkeypatch, ranks, library, block):
+    monkeypatch.setattr(byte_bpe, "BLOCK", block)
+    monkeypatch.setattr(byte_bpe, "WORDS", 50)
     rng = random.Random(4)
     texts = [None, "", " ", "\n\n  x", "it's we'LL 12345 <|endoftext|>", "x" * 3000, "ab" * 400, "=" * 700, "a\u0085b c　d\x1cx", "日本語é😀👩‍👩‍👧", "\u0000\x7f" * 50, "é" * 90]
     for _ in range(120):
         texts.append("".join(rng.choice(["the ", "un", "ing", " ", "\n", "é", "ß", "😀", "本", "'s", "9", "-", chr(rng.randint(32, 0x2FFF))]) for _ in range(rng.randint(1, 120))))
     rows = [(None if k == 5 else k // 2, t) for k, t in enumerate(texts)] + [(500, "again")] * 3
     spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("ids", "words", "block", "at", "bytes")}).repartition(3).write.parquet(f"{tmp_path}/docs")
-    got = byte_bpe.encode(spark.read.parquet(f"{tmp_path}/docs"), ranks, public_tokenizers.PATTERN).withColumn("back", byte_bpe.decoded(F.col("ids"), ranks)).collect()
+    got = byte_bpe.decode(byte_bpe.encode(spark.read.parquet(f"{tmp_path}/docs"), ranks, public_tokenizers.PATTERN), ranks).collect()
     want = sorted((i is not None, i or 0, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows)
-    assert sorted((r.doc_id is not None, r.doc_id or 0, list(r.ids), bytes(r.back)) for r in got) == want
+    assert sorted((r.doc_id is not None, r.doc_id or 0, list(r.ids), bytes(r.bytes)) for r in got) == want
 
 
 def test_long_words_merge_as_short_ones(ranks, library):
