@@ -4,7 +4,8 @@ The nested field paths of a JSON record that some mapping knows, sorted and hash
 fields, such as ids and names, are left aside. The fingerprint selects a declarative mapping, which says where the turns
 are, what role and text each has, and which role names of that layout mean others. Turns then go into a template
 whose marks cannot occur in texts: the first character of every control string in a role or text is replaced by an
-escape, and backslashes are doubled, so that reading back is exact.
+escape, and backslashes are doubled, so that reading back is exact. Half a surrogate pair, which JSON can spell and UTF-8
+can't, becomes an escape too.
 """
 
 from __future__ import annotations
@@ -24,31 +25,38 @@ OPEN, SAYS, CLOSE = "<|turn|>", "<|says|>", "<|end|>"
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _ESCAPED = {"\\": "\\\\", "<": "\\l", "[": "\\b", "|": "\\p"}
 _PLAIN = {v: k for k, v in _ESCAPED.items()}
-_TO_ESCAPE = re.compile(r"\\|(?:" + "|".join(rf"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL) + ")")
-_TO_PLAIN = re.compile(r"\\[\\lbp]")
+_TO_ESCAPE = re.compile("\\\\|[\ud800-\udfff]|(?:" + "|".join(rf"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL) + ")")
+_TO_PLAIN = re.compile(r"\\(?:[\\lbp]|u[0-9a-f]{4})")
 _TURN = re.compile(re.escape(OPEN) + "(.*?)" + re.escape(SAYS) + "(.*?)" + re.escape(CLOSE), re.DOTALL)
 LEARNED = "assistant"
 
 
 def escape(text: str) -> str:
-    return _TO_ESCAPE.sub(lambda m: _ESCAPED[m[0]], text)
+    return _TO_ESCAPE.sub(lambda m: _ESCAPED.get(m[0]) or f"\\u{ord(m[0]):04x}", text)
 
 
 def unescape(text: str) -> str:
-    return _TO_PLAIN.sub(lambda m: _PLAIN[m[0]], text)
+    return _TO_PLAIN.sub(lambda m: _PLAIN.get(m[0]) or chr(int(m[0][2:], 16)), text)
 
 
-def paths(value: object, at: str = "") -> set[str]:
-    """The nested field paths of a parsed record; all elements of a list count as one."""
-    if isinstance(value, dict):
-        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) or {at}
-    if isinstance(value, list):
-        return set().union(*(paths(v, f"{at}[]") for v in value)) or {f"{at}[]"}
-    return {at}
+def paths(value: object, within: frozenset[str] | None = None) -> set[str]:
+    """The nested field paths of a parsed record; all elements of a list count as one. It may be nested to any depth; where within is given, only what lies at or above one of those paths is looked at."""
+    found, open_ = set(), [("", value)]
+    while open_:
+        at, value = open_.pop()
+        if within is not None and at not in within:
+            continue
+        if isinstance(value, dict) and value:
+            open_ += ((f"{at}.{k}" if at else k, v) for k, v in value.items())
+        elif isinstance(value, list):
+            open_ += ((f"{at}[]", v) for v in value or (None,))
+        else:
+            found.add(at)
+    return found
 
 
 def fingerprint(fields: set[str] | frozenset[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(fields)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(fields)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 def _said(value: object) -> str:
@@ -107,7 +115,14 @@ def _parsed(record: str | None) -> object:
         return None
 
 
+def _above(known: frozenset[str]) -> frozenset[str]:
+    """The paths and all beginnings of them at a field or a list."""
+    return frozenset({""} | {p[: m.start()] for p in known for m in re.finditer(r"\.|\[\]|$", p)} | {p[: m.end()] for p in known for m in re.finditer(r"\[\]", p)})
+
+
 def _format(mappings: dict[str, Mapping], known: frozenset[str] | None):
+    within = None if known is None else _above(known)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints: dict[frozenset[str], str] = {}
         for batch in batches:
@@ -117,11 +132,15 @@ def _format(mappings: dict[str, Mapping], known: frozenset[str] | None):
                 if not isinstance(parsed, dict):
                     out.append((conv_id, place, None, None, None, None))
                     continue
-                fields = frozenset(paths(parsed) if known is None else paths(parsed) & known)
+                fields = frozenset(paths(parsed) if known is None else paths(parsed, within) & known)
                 if fields not in prints:
                     prints[fields] = fingerprint(fields)
                 mapping = mappings.get(prints[fields])
-                for role, text in mapping.read(parsed) if mapping else ():
+                try:
+                    turns = mapping.read(parsed) if mapping else []
+                except RecursionError:  # what stands for a text is nested too deep to be written as one
+                    mapping, turns = None, []
+                for role, text in turns:
                     head, body = OPEN + escape(role) + SAYS, escape(text)
                     learned = role == LEARNED
                     out.append((conv_id, place, prints[fields], head + body + CLOSE, len(head) if learned else None, len(head) + len(body) if learned else None))
@@ -139,8 +158,8 @@ def format_records(records: DataFrame, mappings: dict[str, Mapping] | None = Non
 
     The formatted conversation is the concatenation of its turns by place; the loss mask is the code points from
     loss_start to loss_end of an assistant's turn, null for others. A record whose fingerprint has no mapping gives one
-    row with nulls, so that it can be seen and mapped, and one that is null or no JSON object a row without layout; null roles
-    and texts are empty. With mappings of one's own, `known` names the field paths that count (none: all).
+    row with nulls, so that it can be seen and mapped, and so does one whose text is nested too deep to be written; one that is
+    null or no JSON object gives a row without layout. Null roles and texts are empty. With mappings of one's own, `known` names the field paths that count (none: all).
     """
     known = KNOWN if mappings is None else known
     return records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("place").cast("long").alias("place"), "record").mapInArrow(_format(MAPPINGS if mappings is None else mappings, known), "conv_id long, place long, layout string, formatted string, loss_start long, loss_end long")

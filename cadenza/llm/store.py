@@ -2,58 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Ids that are broadcast at most (8 bytes each, some 50 MB as a hash table); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
-
-_local: dict[str, str] = {}
-_open: list[list[str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. On a local master, where it may be unset, a temporary one; on a cluster that would be a folder of one machine, so it is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return _local[app]
+from ..storage import scratch, shared_folder, stash
 
+__all__ = ["attached", "only", "salted", "scratch", "shared_folder", "stash"]
 
-def stash(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, so that a lost executor costs a read and not the work before it.
-
-    The caller's frame reads the tables lazily, so they stay until the folder is cleared, or until scratch() ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for paths in _open[-1:]:
-        paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables that were stashed inside; results must be written before it ends."""
-    _open.append([])
-    try:
-        yield
-    finally:
-        for path in _open.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+#: Ids that are broadcast at most (8 bytes each, some 50 MB as a hash table); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:

@@ -225,3 +225,23 @@ def test_stages_take_any_rows(spark, name, tmp_path):
         assert sorted(r.doc_id for r in rows) == [1, 2, 3, 4, 6]
     if name == "secrets":
         assert [r.text for r in rows if r.doc_id == 6] == ["[SECRET]"]
+
+
+def test_chat_records_of_any_depth_and_half_pairs(spark):
+    deep = '{"x": ' * 10_000 + "1" + "}" * 10_000
+    lists = "[" * 3_000 + '"in"' + "]" * 3_000
+    rows = [(1, 1, '{"role": "user", "text": "half \\ud800 and \\\\ud800", "meta": ' + '{"x": ' * 700 + "1" + "}" * 700 + "}"), (1, 2, '{"role": "assistant", "content": ' + lists + "}"), (2, 1, deep), (3, 1, '{"role": "assistant", "text": "\\udfff"}'), (4, 1, '{"\\ud800": 1}'), (5, None, '{"role": "user", "text": "b"}'), (5, None, '{"role": "user", "text": "a"}')]
+    records = spark.createDataFrame(rows, "conv_id long, place long, record string")
+    got = chat.format_records(records).collect()
+    said = {(r.conv_id, r.place): r.formatted for r in got}
+    assert len(got) == len(rows) and "half \\ud800 and \\\\ud800" in said[1, 1] and chat.unescape(said[1, 1]).count("\ud800") == 1
+    assert said[2, 1] is None and said[4, 1] is None
+    digests = {r.conv_id: r for r in chat.digests(records).collect()}
+    assert digests[3].loss_chars == 1 and digests[2].n_unmapped == 1 and len(digests) == 5
+    assert chat.format_records(spark.createDataFrame([(1, 1, '{"\\ud800": 1}')], "conv_id long, place long, record string"), {}).count() == 1
+
+
+def test_chat_escapes_are_exact():
+    for text in ("\ud800", "\\ud800", "\\\\ud800", "<s>\udfff[INST]", "\\l\\u0041", "a\ud83d\ud83d"):
+        assert chat.unescape(chat.escape(text)) == text and "\ud800" not in chat.escape(text)
+        chat.escape(text).encode()
