@@ -20,10 +20,10 @@ from . import text as tx
 from .license_texts import NOTICES, PHRASES, WHOLE
 from .store import stash
 
-#: Words of a gram in phrases and in notices.
-PHRASE_GRAM, NOTICE_GRAM = 2, 4
-#: Words by which merged diagonals may differ, the part of a template's grams that a span needs to be verified, and the part of its words that makes it a notice.
-DRIFT, VOTES, SHARE = 2, 0.25, 0.8
+#: Words of a gram in phrases and in notices. Where a fifth of a notice's words are others, a run of three is left.
+PHRASE_GRAM, NOTICE_GRAM = 2, 3
+#: Words by which merged diagonals may differ, the part of a template's words that makes a span a notice, and the part of the grams which such a span must have that it needs to be verified.
+DRIFT, SHARE, VOTES = 2, 0.8, 0.25
 
 TEMPLATES = tuple((True, *x) for x in PHRASES) + tuple((False, *x) for x in NOTICES + WHOLE)
 
@@ -34,13 +34,20 @@ def _template(said: str, exact: bool) -> tuple[list[bytes], np.ndarray]:
     return [w.word(i) for i in range(len(w.starts))], tx.grams(w.hashes, PHRASE_GRAM if exact else NOTICE_GRAM).view(np.int64)
 
 
+def votes_needed(n: int) -> int:
+    """Grams that a span needs, of a notice of n words: a part of those that are left when each word that may differ spoils all its grams; one at least."""
+    left = n - NOTICE_GRAM + 1 - NOTICE_GRAM * int(n * (1 - SHARE) + 1e-9)
+    return max(1, int(VOTES * left))
+
+
 def _places(spark) -> DataFrame:
     """One row for each gram of each template; a fixed table of some thousand rows."""
     rows = []
     for t, (exact, said, _) in enumerate(TEMPLATES):
         said_words, hashes = _template(said, exact)
-        rows += [(int(h), exact, t, len(said_words), len(hashes), at) for at, h in enumerate(hashes)]
-    return spark.createDataFrame(rows, "gram long, exact boolean, template int, said int, grams int, at int")
+        needed = len(hashes) if exact else votes_needed(len(said_words))
+        rows += [(int(h), exact, t, len(said_words), needed, at) for at, h in enumerate(hashes)]
+    return spark.createDataFrame(rows, "gram long, exact boolean, template int, said int, needed int, at int")
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,13 +133,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     grams = read.where(F.size("hashes") > 0).select("doc_id", "key", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("doc_id", "key", F.col("x.places").alias("place"), F.col("x.hashes").alias("gram"))
     # the templates are a constant of this package, so their size is known
     hits = grams.join(F.broadcast(_places(docs.sparkSession)), "gram").withColumn("diagonal", F.col("place") - F.col("at"))
-    votes = hits.groupBy("doc_id", "key", "exact", "template", "said", "grams", "diagonal").agg(F.collect_set("at").alias("at"))
+    votes = hits.groupBy("doc_id", "key", "exact", "template", "said", "needed", "diagonal").agg(F.collect_set("at").alias("at"))
 
     order = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(DRIFT + 1)) > F.when(F.col("exact"), -1).otherwise(DRIFT)
     votes = votes.withColumn("run", F.sum(far.cast("int")).over(order))
-    runs = votes.groupBy("doc_id", "key", "exact", "template", "said", "grams", "run").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("met"))
-    runs = runs.where(F.col("met") >= F.when(F.col("exact"), F.col("grams")).otherwise(VOTES * F.col("grams")))
+    runs = votes.groupBy("doc_id", "key", "exact", "template", "said", "needed", "run").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("met"))
+    runs = runs.where(F.col("met") >= F.col("needed"))
     slack = F.when(F.col("exact"), 0).otherwise(DRIFT)
     spans = runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("template", (F.col("low") - slack).alias("low"), (F.col("high") + F.col("said") + slack).alias("high"))).alias("spans"))
     texts = read.where(F.size("hashes") > 0).select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"])
