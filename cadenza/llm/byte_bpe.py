@@ -30,7 +30,7 @@ from . import text as tx
 #: Small maps that the ranks are spread over.
 MAPS = 1 << 15
 #: Bytes of texts in a block. Bytes of the longest word that is folded, which takes steps by length squared; longer ones are merged with a heap, alike.
-BLOCK, FOLDED = 32 << 20, 64
+BLOCK, FOLDED = 48 << 20, 64
 #: Words of a block whose ids are put together at once.
 WORDS = 1 << 19
 
@@ -261,20 +261,39 @@ def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return held.mapInArrow(run, held.schema)
 
 
+class _Joined:
+    """Byte strings end to end, so that those with given numbers are joined by array passes."""
+
+    def __init__(self, strings: list[bytes]):
+        self.lengths = np.array([len(x) for x in strings] or [0], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def __call__(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all numbers, one after the other, and where each ends, from a 0."""
+        each = self.lengths[numbers]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        return self.data[np.arange(ends[-1]) + np.repeat(self.starts[numbers] - ends[:-1], each)], ends
+
+
 def digests(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """coded(doc_id, ids) to doc_id, n_tokens, ids_sha256 (of the ids in decimal, joined by a space) and decoded_sha256 (of the bytes that the ids stand for)."""
     pieces = _pieces(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said = [str(i) for i in range(len(pieces))]
+        said, whole = _Joined([b" %d" % i for i in range(len(pieces))]), _Joined(pieces)
         for batch in batches:
             lists = batch.column("ids")
-            ends = np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy(zero_copy_only=False)]))
-            flat, made = lists.flatten(), ([], [])
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                ids = flat.slice(a, b - a).to_pylist()
-                made[0].append(hashlib.sha256(" ".join(map(said.__getitem__, ids)).encode()).hexdigest())
-                made[1].append(hashlib.sha256(b"".join(map(pieces.__getitem__, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), *map(pa.array, made)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, first, made = lists.flatten().to_numpy(zero_copy_only=False), 0, ([], [])
+            for start, stop in tx.cuts(counts, WORDS):
+                inside = np.concatenate([[0], np.cumsum(counts[start:stop])])
+                some = flat[first : first + inside[-1]]
+                first += inside[-1]
+                for out, table, skip in zip(made, (said, whole), (1, 0), strict=True):
+                    data, ends = table(some)
+                    at = ends[inside]
+                    out += [hashlib.sha256(data[a + skip * (b > a) : b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), *(pa.array(x, pa.string()) for x in made)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
