@@ -25,8 +25,10 @@ BITS = 20
 PER_CLASS = 4000
 #: Bytes of a stem, and training documents that hold a term at least: what one document alone has tells nothing of others.
 STEM, SEEN = 6, 2
-#: Steps for the weights alone, and as many for weights and vectors, each in whole passes, at least PASSES; vectors are for terms of PAIRED documents or more.
-STEPS, PASSES, BATCH, FACTORS, PAIRED = 750, 6, 32, 4, 30
+#: Steps for the weights alone, and as many for weights and vectors, each in whole passes, at least PASSES.
+STEPS, PASSES, BATCH, FACTORS = 750, 6, 32, 4
+#: Size of the vectors at first, and documents that a term counts against: one of n documents is trusted (n / (n + PRIOR))^2 in pairs, so that a rare term's vector is small and learns slowly.
+INIT, PRIOR = 0.05, 20
 #: Rates of weights and vectors, and what each step takes off their sizes, so that terms and pairs that tell nothing come to zero.
 RATE, RATE_V, THIN_W, THIN_V = 0.3, 0.2, 3e-4, 1e-3
 THRESHOLD = 0.3
@@ -77,12 +79,12 @@ class Machine:
         seen_w, seen_v, seen_c = np.full(k, 1e-3, np.float32), np.full(k, 1e-3, np.float32), 1e-3
         # a term that few batches touch pays at each touch for the batches between
         thin = np.maximum(1.0, len(y) / BATCH / np.bincount(term, minlength=k))
+        trust = (seen[self.terms] / (seen[self.terms] + PRIOR)) ** 2
         self.c = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         passes = max(PASSES, round(STEPS / -(-len(y) // BATCH)))
         for turn in range(2 * passes):
             if turn == passes:
-                paired = seen[self.terms] >= PAIRED
-                self.v[paired] = rng.standard_normal((int(paired.sum()), FACTORS)) * 0.05
+                self.v = (rng.standard_normal((k, FACTORS)) * INIT * trust[:, None]).astype(np.float32)
             order = rng.permutation(len(y))
             for i in range(0, len(y), BATCH):
                 some = order[i : i + BATCH]
@@ -103,7 +105,7 @@ class Machine:
                 self.w[each] = np.sign(moved) * np.maximum(np.abs(moved) - step_w * thin[each] * THIN_W, 0)
                 if turn < passes:
                     continue
-                dv *= paired[each, None]
+                step_v = step_v * trust[each]
                 moved = self.v[each] - step_v[:, None] * dv
                 self.v[each] = moved * np.maximum(1 - step_v * thin[each] * THIN_V / np.sqrt((moved * moved).sum(1) + 1e-12), 0)[:, None]
         self.c += shift

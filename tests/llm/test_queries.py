@@ -435,3 +435,43 @@ def test_notices_with_other_words_are_found(spark):
     for template in set(of.values()):
         mine = [i for i, x in of.items() if x == template]
         assert sum(template[1] in found[i] for i in mine) >= 0.98 * len(mine), (template, len(mine))
+
+
+@pytest.mark.parametrize(("documents", "least"), [(200, 0.8), (400, 0.9)])
+def test_pairs_are_learned_from_few_documents(documents, least):
+    """An insult and a group mention tell nothing alone; which documents hold just one of them is learned, and a word of few documents takes no part."""
+
+    def made(seed, n):
+        rng, texts, y = random.Random(seed), [], []
+        for _ in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            texts.append(" ".join([*(f"w{i}" for i in rng.sample(range(60), 8)), *["insult"] * a, *["group"] * b, f"once{rng.randrange(n)}"]))
+            y.append(float(a != b))
+        return pa.array(texts), np.array(y)
+
+    texts, y = made(0, documents)
+    machine = toxicity.Machine()
+    machine.fit(*toxicity._buckets(texts), y, 0.0)
+    held, truth = made(1, 400)
+    scores = machine.score(held)
+    hits = (scores[truth == 1][:, None] > scores[truth == 0][None, :]).mean()
+    assert hits >= least
+
+
+def test_gradients_of_the_machine_by_differences():
+    """One step's direction for weights and vectors is that of the loss, by finite differences."""
+    rng = np.random.default_rng(4)
+    machine = toxicity.Machine()
+    machine.terms, machine.c = np.arange(6, dtype=np.int32), 0.1
+    machine.w, machine.v = rng.normal(size=6).astype(np.float64), rng.normal(size=(6, toxicity.FACTORS))
+    term, doc, y = np.array([0, 1, 2, 1, 3, 4, 5]), np.array([0, 0, 0, 1, 1, 2, 2]), np.array([1.0, 0.0, 1.0])
+    loss = lambda: -sum(t * np.log(s) + (1 - t) * np.log(1 - s) for t, s in zip(y, 1 / (1 + np.exp(-machine.logits(term, doc, 3)[0])), strict=True))
+    z, sums = machine.logits(term, doc, 3)
+    off = 1 / (1 + np.exp(-z)) - y
+    of_v = np.stack([np.bincount(term, off[doc] * (sums[doc, f] - machine.v[term, f]), 6) for f in range(toxicity.FACTORS)], 1)
+    for k, f in ((1, 0), (3, 2), (5, 1)):
+        before, machine.v[k, f] = machine.v[k, f], machine.v[k, f] + 1e-6
+        up = loss()
+        machine.v[k, f] = before - 1e-6
+        assert abs((up - loss()) / 2e-6 - of_v[k, f]) < 1e-5
+        machine.v[k, f] = before
