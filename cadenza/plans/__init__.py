@@ -12,7 +12,7 @@ from ..operators import frames as fr
 from ..operators import kernels as kn
 from ..operators import music as mu
 from ..sources import frames, notes, table
-from . import chains, consensus, decoders, segments, tunes
+from . import chains, consensus, decoders, scoring, segments, tunes
 from .sql import SQL
 
 FLAGSHIP = "voiced_runs"
@@ -199,8 +199,8 @@ def split_runs(spark: SparkSession, d: str) -> DataFrame:
 def aligned(spark: SparkSession, d: str) -> DataFrame:
     n = _blocks(spark, d)
     b = n.groupBy("rec", "block").agg(F.array_sort(F.collect_list(F.struct("seq", "pitch", "start"))).alias("x")).select("rec", "block", F.transform("x", lambda x: F.struct(x["pitch"].alias("pitch"), x["start"].alias("beat"))).alias("x"))
-    first, second = b.where("block = 0").select("rec", F.col("x").alias("pred")), b.where("block = 1").select("rec", F.col("x").alias("truth"))
-    return kn.align(first.join(second, "rec"))
+    first, second = b.select("rec", (F.col("block") + 1).alias("block"), F.col("x").alias("pred")), b.select("rec", "block", F.col("x").alias("truth"))
+    return kn.align(first.join(second, ["rec", "block"]))
 
 
 def selected_voice(spark: SparkSession, d: str) -> DataFrame:
@@ -219,8 +219,8 @@ _ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*_ALL, *tunes.ALL, *segments.ALL, *chains.ALL, *decoders.ALL, *consensus.ALL)}
+    return {f.__name__: f for f in (*_ALL, *tunes.ALL, *segments.ALL, *chains.ALL, *decoders.ALL, *consensus.ALL, *scoring.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | tunes.SQL | segments.SQL | chains.SQL | decoders.SQL | consensus.SQL
+    return SQL | tunes.SQL | segments.SQL | chains.SQL | decoders.SQL | consensus.SQL | scoring.SQL

@@ -138,9 +138,9 @@ def bar_chords(spark: SparkSession, d: str) -> DataFrame:
 
 def section_scores(spark: SparkSession, d: str) -> DataFrame:
     n = notes(spark, d).select("rec", F.floor(F.col("seq") / 8).alias("block"), (F.col("seq") % 8).alias("i"), "pitch")
-    a, b = n.where("block = 0"), n.where("block = 1").select("rec", "i", F.col("pitch").alias("other"))
+    a, b = n.withColumn("block", F.col("block") + 1), n.where("block > 0").select("rec", "block", "i", F.col("pitch").alias("other"))
     gap = F.abs(F.col("pitch") - F.col("other"))
-    aligned = b.join(a, ["rec", "i"], "left").groupBy("rec").agg(F.count_if(gap == 0).alias("exact"), F.count_if((gap > 0) & (gap % 12 == 0)).alias("octave"), F.count("*").alias("n_truth"))
+    aligned = b.join(a, ["rec", "block", "i"], "left").groupBy("rec", "block").agg(F.count_if(gap == 0).alias("exact"), F.count_if((gap > 0) & (gap % 12 == 0)).alias("octave"), F.count("*").alias("n_truth"))
     return _nine(se.section_scores(aligned), "pitch", "pitch_class", "octave_rate")
 
 
@@ -214,7 +214,7 @@ _PITCH = f"""CASE WHEN length(sp) = 2 AND {_SIGNED} THEN '' WHEN length(sp) = 2
   || CASE WHEN midi // 12 - 1 >= 5 THEN lower(right(sp, 1)) || repeat('''', midi // 12 - 6) ELSE right(sp, 1) || repeat(',', 5 - midi // 12) END"""
 _LENGTH = "CASE WHEN ticks = 480 THEN '' WHEN ticks % 480 = 0 THEN CAST(ticks // 480 AS VARCHAR) WHEN 480 % ticks = 0 THEN '/' || (480 // ticks) ELSE (ticks // gcd(ticks, 480)) || '/' || (480 // gcd(ticks, 480)) END"
 _SCORED = _NOTES + """, b8 AS (SELECT rec, seq // 8 AS block, seq % 8 AS i, pitch FROM n), al AS (SELECT y.rec, count(*) FILTER (WHERE x.pitch = y.pitch) AS exact, count(*) FILTER (WHERE x.pitch <> y.pitch AND abs(x.pitch - y.pitch) % 12 = 0) AS octave, count(*) AS n_truth
-FROM b8 y LEFT JOIN b8 x ON x.rec = y.rec AND x.i = y.i AND x.block = 0 WHERE y.block = 1 GROUP BY y.rec),
+FROM b8 y LEFT JOIN b8 x ON x.rec = y.rec AND x.i = y.i AND x.block + 1 = y.block WHERE y.block > 0 GROUP BY y.rec, y.block),
 sc AS (SELECT rec, n_truth, round(exact / n_truth, 9) AS pitch, round((exact + octave) / n_truth, 9) AS pitch_class, round(octave / n_truth, 9) AS octave_rate FROM al)"""
 
 SQL = {
