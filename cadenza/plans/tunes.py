@@ -103,6 +103,11 @@ def form_search(spark: SparkSession, d: str) -> DataFrame:
     return fo.search_form(n, n.groupBy("rec").agg(F.min("start").alias("first_beat")))
 
 
+def contour_matches(spark: SparkSession, d: str) -> DataFrame:
+    cells = cl.cells(frames(spark, d), F.col("frame") / 16, 16)
+    return _nine(fo.contour_matches(fo.contour_blocks(fo.contour_grid(cells), 1.0, per=16)), "similarity")
+
+
 def _passes(spark: SparkSession, d: str) -> DataFrame:
     return notes(spark, d).select("rec", "seq", "pitch", F.floor(F.col("seq") / 8).alias("block"), ((F.col("seq") % 8) * 0.75 + F.when(F.col("pitch") % 3 == 0, 0.25).otherwise(0.0)).alias("start"), "dur", "conf")
 
@@ -178,7 +183,7 @@ def tune_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 ALL = (
-    run_median, vibrato, drones, grid_cells, loudest_note, coupling, held_pitch, inferred_meter, folded_beats, bar_layouts, likely_form, shifted_similarity, reference_pass, form_search, slot_means, restart_votes, consensus_notes, placed_measures, plain_measures,
+    run_median, vibrato, drones, grid_cells, loudest_note, coupling, held_pitch, inferred_meter, folded_beats, bar_layouts, likely_form, shifted_similarity, reference_pass, contour_matches, form_search, slot_means, restart_votes, consensus_notes, placed_measures, plain_measures,
     bar_chords, section_scores, corpus_score, confidence, chance_levels, identify_above_chance, notation_tokens, tune_texts,
 )
 
@@ -244,6 +249,8 @@ SELECT b.owner, round(greatest(0.05::DOUBLE, m * s), 9) AS score FROM b JOIN s O
     "shifted_similarity": f"WITH {_GRIDS} SELECT x.rec, x.block, round({_similar('x.s', 'y.s', 0)}, 9) AS near, round({_ALIGNED}, 9) AS aligned FROM gr x JOIN gr y ON y.rec = x.rec AND y.block = x.block + 1",
     "reference_pass": f"""WITH {_GRIDS}, l AS (SELECT *, CASE WHEN block % 2 = 0 THEN 'A' ELSE 'B' END AS label FROM gr), a AS (SELECT x.rec, x.label, x.block, any_value(x.conf) AS conf, coalesce(avg(CASE WHEN y.block IS NOT NULL THEN {_ALIGNED} END), 1.0) AS alike FROM l x LEFT JOIN l y ON y.rec = x.rec AND y.label = x.label AND y.block <> x.block GROUP BY ALL),
 s AS (SELECT *, round(alike * 0.85::DOUBLE + conf * 0.15::DOUBLE, 9) AS score FROM a), k AS (SELECT *, row_number() OVER (PARTITION BY rec, label ORDER BY score DESC, block) AS k FROM s) SELECT rec, label, block, score FROM k WHERE k = 1""",
+    "contour_matches": f"""WITH {_FRAMES}, b AS (SELECT rec, frame // 16 AS block, list(midi ORDER BY frame) AS c FROM f GROUP BY ALL HAVING count(*) = 16), p AS (SELECT x.rec, x.block AS i, y.block AS j, list_filter([abs(x.c[k] - y.c[k]) FOR k IN range(1, 17)], lambda g: g IS NOT NULL) AS g FROM b x JOIN b y ON y.rec = x.rec AND x.block < y.block)
+SELECT rec, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(CASE WHEN len(g) < 8 THEN 0.0 ELSE len(list_filter(g, lambda v: v < 0.6 OR abs(v - 12) < 0.6)) / len(g) END, 9) AS similarity FROM p""",
     "slot_means": f"WITH {_PASSES}, a AS (SELECT *, greatest(0, CAST(round_even(start * 4, 0) AS INTEGER)) AS i0, CAST(round_even((start + dur) * 4, 0) AS INTEGER) AS ie FROM ps) SELECT rec, CAST(slot AS INTEGER) AS slot, round(avg(conf), 9) AS conf FROM (SELECT rec, conf, unnest(range(i0, least(24, greatest(i0 + 1, ie)))) AS slot FROM a WHERE i0 < 24) GROUP BY ALL",
     "restart_votes": f"WITH {_PASSES}, p AS (SELECT rec, count(DISTINCT block) AS passes FROM ps GROUP BY rec), v AS (SELECT rec, CAST(round_even(start * 4, 0) AS INTEGER) AS slot, count(DISTINCT block) AS votes FROM ps WHERE round_even(start * 4, 0) BETWEEN 0 AND 23 GROUP BY ALL) SELECT v.rec, slot, votes FROM v JOIN p ON p.rec = v.rec WHERE votes >= greatest(1, 0.5 * passes)",
     "placed_measures": f"""WITH {_NOTES}, x AS (SELECT rec, seq, seq * 0.75::DOUBLE AS start, CASE WHEN rec % 3 > 0 THEN rec % 3 + 1 END AS odd FROM n), r AS (SELECT DISTINCT rec, odd FROM x), a AS (SELECT rec, odd, unnest(CASE WHEN odd IS NULL THEN [-1] ELSE range(0, 9) END) AS pos FROM r),
