@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cleaning import persistence
+from .lines import BestLine
 
 
 @dataclass(frozen=True)
@@ -80,47 +81,35 @@ def fragment_worth(fragments: DataFrame, hop: float, costs: LineCosts = COSTS) -
 def _best_fragments(hop: float, costs: LineCosts):
     kinds = [("rec", pa.int64()), ("island", pa.int64()), ("frag", pa.int64()), ("place", pa.int64()), ("last", pa.int64()), ("total", pa.float64())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by rec, island, start, frag. A fragment in reach keeps its best total and a link to the one before, so that lines nobody can join any more are let go."""
-        now, near, best = None, [], None
-        out: list[tuple] = []
-
-        def line() -> None:
-            total, last, node = best
-            frags = []
-            while node is not None:
-                frags.append(node[0])
-                node = node[1]
-            out.extend((*now, frag, place, last, total) for place, frag in enumerate(reversed(frags)))
-
-        def rows() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [c for c, _ in kinds])
+    def in_reach(before: tuple, fragment: tuple) -> bool:
+        return (fragment[1] - before[2]) * hop <= costs.reach
+
+    def cost(before: tuple, fragment: tuple) -> float | None:
+        if before[1] >= fragment[1]:
+            return None
+        leap = abs(fragment[3] - before[3])
+        return costs.continuity * costs.between * max(0.0, leap - costs.free) + costs.octave * (abs(leap - 12) < 1) + costs.pause * max(0, fragment[1] - before[2]) * hop
+
+    def told(now: tuple, line: BestLine) -> list[tuple]:
+        return [(*now, x[0], place, line.best[1], line.best[0]) for place, x in enumerate(line.items())]
 
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [c for c, _ in kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by rec, island, start, frag; an island's line is told when the island ends."""
+        now, line = None, None
         for batch in batches:
-            for rec, island, frag, start, end, middle, worth in zip(*(batch.column(c).to_pylist() for c in ("rec", "island", "frag", "start", "end", "middle", "worth")), strict=True):
+            out: list[tuple] = []
+            for rec, island, *fragment, worth in zip(*(batch.column(c).to_pylist() for c in ("rec", "island", "frag", "start", "end", "middle", "worth")), strict=True):
                 if (rec, island) != now:
-                    if now:
-                        line()
-                    now, near, best = (rec, island), [], None
-                near = [x for x in near if (start - x[1]) * hop <= costs.reach]
-                total, before = worth, None
-                for s, e, m, t, node in near:
-                    if s >= start:
-                        continue
-                    leap = abs(middle - m)
-                    cost = costs.continuity * costs.between * max(0.0, leap - costs.free) + costs.octave * (abs(leap - 12) < 1) + costs.pause * max(0, start - e) * hop
-                    if t - cost + worth > total:
-                        total, before = t - cost + worth, node
-                node = (frag, before)
-                near.append((start, end, middle, total, node))
-                if best is None or total > best[0] or total == best[0] and frag < best[1]:
-                    best = (total, frag, node)
-            yield rows()
-            out = []
+                    out += told(now, line) if now else []
+                    now, line = (rec, island), BestLine(in_reach, cost)
+                line.add(tuple(fragment), worth, worth, rank=fragment[0])
+            yield rows(out)
         if now:
-            line()
-            yield rows()
+            yield rows(told(now, line))
 
     return run
 

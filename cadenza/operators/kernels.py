@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lines import BestLine, greedy_labels, separation
+
 
 class _Level:
     """The pitches of a note so far, of which the last `memory` count, kept sorted."""
@@ -121,28 +123,36 @@ class VoiceCosts:
     restart: float = 0.80
 
 
-def best_line(start: np.ndarray, end: np.ndarray, pitch: np.ndarray, amp: np.ndarray, back: float, costs: VoiceCosts) -> tuple[list[int], float]:
-    """The notes of the line worth most, and its worth; notes are in order of start. The first of ties."""
-    worth = costs.loud * amp * np.minimum(end - start, costs.longest) / costs.ordinary
-    score, parent = worth - costs.restart, np.full(len(worth), -1)
-    low, high = np.searchsorted(start, start - back, "left"), np.searchsorted(start, start, "left")
-    for i in range(len(worth)):
-        before = slice(low[i], high[i])
-        if low[i] == high[i]:
-            continue
-        far, apart = np.abs(pitch[before] - pitch[i]), start[i] - end[before]
-        cost = costs.step * far + costs.leap * np.maximum(0.0, far - costs.leap_above) + costs.octave * (far >= costs.octave_from)
-        cost += costs.gap * np.maximum(0.0, apart) + costs.overlap * np.maximum(0.0, -apart)
-        total = score[before] + worth[i] - cost
-        best = int(total.argmax())
-        if total[best] > score[i]:
-            score[i], parent[i] = total[best], low[i] + best
-    at, line = int(score.argmax()), []
-    most = float(score[at])
-    while at >= 0:
-        line.append(at)
-        at = int(parent[at])
-    return line[::-1], most
+def _voices(back: float, costs: VoiceCosts):
+    kinds = [("rec", pa.int64()), ("part", pa.int64()), ("start", pa.float64()), ("end", pa.float64()), ("pitch", pa.int32()), ("worth", pa.float64())]
+
+    def cost(before: tuple, note: tuple) -> float | None:
+        if before[0] >= note[0]:
+            return None
+        far, apart = abs(before[2] - note[2]), note[0] - before[1]
+        leap = costs.step * far + costs.leap * max(0.0, far - costs.leap_above) + costs.octave * (far >= costs.octave_from)
+        return leap + (costs.gap * apart if apart > 0 else -costs.overlap * apart)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by rec, part, start, end, pitch and amp; a part's line is told when the part ends."""
+        now, line = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for rec, part, *note, amp in zip(*(batch.column(c).to_pylist() for c in ("rec", "part", "start", "end", "pitch", "amp")), strict=True):
+                if (rec, part) != now:
+                    out += [(*now, *x, line.best[0]) for x in line.items()] if now else []
+                    now, line = (rec, part), BestLine(lambda before, note: before[0] >= note[0] - back, cost)
+                worth = costs.loud * amp * min(note[1] - note[0], costs.longest) / costs.ordinary
+                line.add(tuple(note), worth, worth - costs.restart)
+            yield _told(out)
+        if now:
+            yield _told([(*now, *x, line.best[0]) for x in line.items()])
+
+    def _told(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [c for c, _ in kinds])
+
+    return run
 
 
 def select_voice(events: DataFrame, floor: int = 64, back: float = 2.0, costs: VoiceCosts = VoiceCosts()) -> DataFrame:  # noqa: B008
@@ -150,19 +160,15 @@ def select_voice(events: DataFrame, floor: int = 64, back: float = 2.0, costs: V
 
     A note is worth its loudness by length; intervals, leaps, octaves, gaps and overlaps cost, and so does a line that
     begins. A note follows one that starts strictly earlier, by `back` seconds at most, so where none does a recording is
-    cut: its parts are separate tasks, and the best part's line is the recording's (the earliest of ties).
+    cut: its parts are dealt over tasks and stream through them, and the best part's line is the recording's (the earliest of
+    ties).
     """
-
-    def line(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["start", "end", "pitch", "amp"]).reset_index(drop=True)
-        kept, most = best_line(*(g[c].to_numpy(float) for c in ("start", "end", "pitch", "amp")), back, costs)
-        return g.loc[kept, ["rec", "part", "start", "end", "pitch"]].assign(worth=most)
-
     by = Window.partitionBy("rec").orderBy("start")
     held = events.select(F.col("rec").cast("long"), F.col("start").cast("double"), F.col("end").cast("double"), F.col("pitch").cast("int"), F.col("amp").cast("double"))
     held = held.where((F.col("pitch") >= floor) & (F.col("end") > F.col("start")))
     parts = held.withColumn("part", F.sum(F.when(F.col("start") - F.lag("start").over(by) <= back, 0).otherwise(1)).over(by))
-    lines = parts.groupBy("rec", "part").applyInPandas(line, "rec long, part long, start double, end double, pitch int, worth double")
+    dealt = parts.repartition("rec", "part").sortWithinPartitions("rec", "part", "start", "end", "pitch", "amp")
+    lines = dealt.mapInArrow(_voices(back, costs), "rec long, part long, start double, end double, pitch int, worth double")
     best = F.min_by("part", F.struct(-F.col("worth"), "part")).over(Window.partitionBy("rec"))
     return lines.withColumn("best", best).where("part = best").select("rec", "start", "end", "pitch")
 
@@ -175,16 +181,9 @@ def leaders(pairs: DataFrame, threshold: float, most: int = 3) -> DataFrame:
         sim = np.eye(n)
         i, j = group["i"].to_numpy(int), group["j"].to_numpy(int)
         sim[i, j] = sim[j, i] = group["similarity"].to_numpy()
-        heads, labels = [], []
-        for b in range(n):
-            fits = [(sim[b, h], k) for k, h in enumerate(heads) if sim[b, h] >= threshold]
-            if not fits:
-                heads.append(b)
-            labels.append(max(fits)[1] if fits else len(heads) - 1)
-        same = np.equal.outer(labels, labels)
-        off = ~np.eye(n, dtype=bool)
-        quality = (sim[same & off].mean() if (same & off).any() else 0.0) - (sim[~same].mean() if (~same).any() else 0.0)
-        text = "".join(chr(65 + k) for k in labels) if 2 <= len(heads) <= most else ""
+        labels, groups = greedy_labels(sim, np.array([threshold]))
+        quality = np.subtract(*np.nan_to_num(separation(sim, labels)))[0]
+        text = "".join(chr(65 + k) for k in labels[0]) if 2 <= groups[0] <= most else ""
         return pd.DataFrame({"rec": [group["rec"].iloc[0]], "labels": [text], "quality": [float(quality)]})
 
     return pairs.select(F.col("rec").cast("long"), "i", "j", "similarity").groupBy("rec").applyInPandas(cluster, "rec long, labels string, quality double")
