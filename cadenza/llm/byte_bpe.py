@@ -30,7 +30,7 @@ from . import text as tx
 #: Small maps that the ranks are spread over.
 MAPS = 1 << 15
 #: Bytes of texts in a block. Bytes of the longest word that is folded, which takes steps by length squared; longer ones are merged with a heap, alike.
-BLOCK, FOLDED = 48 << 20, 64
+BLOCK, FOLDED = 32 << 20, 64
 #: Words of a block whose ids are put together at once.
 WORDS = 1 << 19
 
@@ -144,8 +144,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
         of[order] = np.arange(len(order), dtype=np.int32)
         numbers, words = of[numbers], coded.dictionary.take(pa.array(order))
         digest = hashlib.blake2b(digest_size=8)
-        for x in (counts, numbers, "\n".join(f"{len(w)}:{w}" for w in words.to_pylist()).encode()):
-            digest.update(x)
+        for x in (counts, numbers, *tx.buffer(words)):
+            digest.update(np.ascontiguousarray(x))
         doc_ids = pa.chunked_array([x.column("doc_id") for x in held]).combine_chunks()
         return int.from_bytes(digest.digest(), "little", signed=True), doc_ids, counts, numbers, words
 
