@@ -173,10 +173,14 @@ def entropy(vectors: DataFrame, offset: int = 21) -> DataFrame:
     return ranked_bins.groupBy("owner").agg(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log2("p")).otherwise(0.0)).alias("bits"), F.sum(F.when(F.col("r") <= 2, F.col("p")).otherwise(0.0)).alias("top2"))
 
 
-def octave_shift(notes: DataFrame, open_strings: tuple[int, ...] = (50, 55, 59, 62)) -> DataFrame:
-    """The octave shift with which most notes lie on a string, low frets counting twice; the lowest of ties."""
-    shifts = F.array(*map(F.lit, (-24, -12, 0, 12)))
-    each = notes.select("rec", "pitch", F.explode(shifts).alias("shift"))
-    fret = F.array_min(F.filter(F.array(*((F.col("pitch") + F.col("shift") - s) for s in open_strings)), lambda f: f.between(0, 17)))
-    worth = F.when(fret <= 7, 2).when(fret.isNotNull(), 1).otherwise(0)
-    return each.groupBy("rec", "shift").agg(F.sum(worth).alias("worth")).groupBy("rec").agg(F.max_by("shift", F.struct("worth", -F.col("shift"))).alias("shift"), F.max("worth").alias("worth"))
+def octave_shift(notes: DataFrame, frets: int = 12, capo: str | None = None, open_strings: tuple[int, ...] = (50, 55, 59, 62)) -> DataFrame:
+    """The octave shift with which most notes lie on a string within its `frets`, those up to the seventh counting twice; the lowest of ties. `capo` names a column of semitones that raise all strings; a rec has one value of it."""
+    low = F.col("pitch") - (F.col(capo) if capo else 0)
+
+    def worth(shift: int) -> Column:
+        fret = F.array_min(F.filter(F.array(*((low + shift - s) for s in open_strings)), lambda f: f.between(0, frets)))
+        return F.sum(F.when(fret <= 7, 2).when(fret.isNotNull(), 1).otherwise(0))
+
+    sums = notes.groupBy("rec").agg(*(worth(x).alias(str(x)) for x in (-24, -12, 0, 12)))
+    best = F.array_max(F.array(*(F.struct(F.col(str(x)).alias("worth"), F.lit(-x).alias("up")) for x in (-24, -12, 0, 12))))
+    return sums.select("rec", (-best["up"]).alias("shift"), best["worth"].alias("worth"))

@@ -104,6 +104,6 @@ SELECT grp, round(CASE WHEN count(*) FILTER (WHERE pos) > 0 AND count(*) FILTER
     "sequence_similarity": f"WITH {_BLOCKS}, s AS (SELECT rec, block, string_agg(chr(pitch), '' ORDER BY seq) AS s FROM b GROUP BY ALL) SELECT x.rec, x.block, round(1 - levenshtein(x.s, y.s) / greatest(len(x.s), len(y.s)), 9) AS similarity FROM s x JOIN s y ON y.rec = x.rec AND y.block = x.block + 1",
     "spectrum_entropy": """WITH b AS (SELECT vec_id AS owner, (i - 1 + 21) % 12 AS pc, sum(greatest(CAST(embedding[i] AS DOUBLE), 0)) AS w FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL), p AS (SELECT *, w / nullif(sum(w) OVER (PARTITION BY owner), 0) AS p FROM b),
 r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY p DESC NULLS LAST, pc) AS r FROM p) SELECT owner, round(sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END), 9) AS bits, round(coalesce(sum(p) FILTER (WHERE r <= 2), 0), 9) AS top2 FROM r GROUP BY owner""",
-    "octave_shift": f"""WITH {_NOTES}, s AS (SELECT rec, shift, list_min(list_filter([pitch + shift - 50, pitch + shift - 55, pitch + shift - 59, pitch + shift - 62], lambda x: x BETWEEN 0 AND 17)) AS fret FROM n, (SELECT unnest([-24, -12, 0, 12]) AS shift)),
+    "octave_shift": f"""WITH {_NOTES}, s AS (SELECT rec, shift, list_min(list_filter([pitch + shift - 50, pitch + shift - 55, pitch + shift - 59, pitch + shift - 62], lambda x: x BETWEEN 0 AND 12)) AS fret FROM n, (SELECT unnest([-24, -12, 0, 12]) AS shift)),
 w AS (SELECT rec, shift, sum(CASE WHEN fret <= 7 THEN 2 WHEN fret IS NOT NULL THEN 1 ELSE 0 END) AS worth FROM s GROUP BY ALL) SELECT rec, shift, CAST(worth AS BIGINT) AS worth FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY worth DESC, shift) AS k FROM w) WHERE k = 1""",
 }
