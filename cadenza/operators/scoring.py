@@ -83,23 +83,23 @@ def section_accuracy(aligned: DataFrame, onset: float = ONSET) -> DataFrame:
 ACCURACIES = ("pitch", "pitch_class", "onset", "duration", "sequence_similarity")
 
 
-def recording_accuracy(sections: DataFrame) -> DataFrame:
-    """Section scores of each rec as means weighed by the truth's notes (one at least), octave_errors (right but for the octave) and the number of sections."""
+def recording_accuracy(sections: DataFrame, by: tuple[str, ...] = ("rec",)) -> DataFrame:
+    """Section scores of each rec (or of each value of the columns `by`) as means weighed by the truth's notes (one at least), octave_errors (right but for the octave) and the number of sections."""
     weight = F.greatest(F.lit(1), F.col("n_truth"))
-    means = sections.groupBy("rec").agg(*((F.sum(F.col(c) * weight) / F.sum(weight)).alias(c) for c in ACCURACIES), F.count("*").alias("sections"))
+    means = sections.groupBy(*by).agg(*((F.sum(F.col(c) * weight) / F.sum(weight)).alias(c) for c in ACCURACIES), F.count("*").alias("sections"))
     return means.withColumn("octave_errors", F.greatest(F.lit(0.0), F.col("pitch_class") - F.col("pitch")))
 
 
-def calibration(aligned: DataFrame, unsure: float = UNSURE) -> DataFrame:
-    """aligned(rec, pred with conf, truth, path): does confidence tell right from wrong notes? n_notes, n_wrong, n_flagged, mean confidences, precision and recall of the flag, and auc (0.5 if all are right or wrong) of each rec's matched notes."""
-    each = aligned.select("rec", F.explode(_matched()).alias("x")).select("rec", F.col("x.p.conf").alias("conf"), (F.col("x.p.pitch") != F.col("x.t.pitch")).alias("wrong"))
+def calibration(aligned: DataFrame, unsure: float = UNSURE, by: tuple[str, ...] = ("rec",)) -> DataFrame:
+    """aligned(rec or other columns `by`, pred with conf, truth, path): does confidence tell right from wrong notes? n_notes, n_wrong, n_flagged, mean confidences, precision and recall of the flag, and auc (0.5 if all are right or wrong) of each rec's matched notes."""
+    each = aligned.select(*by, F.explode(_matched()).alias("x")).select(*by, F.col("x.p.conf").alias("conf"), (F.col("x.p.pitch") != F.col("x.t.pitch")).alias("wrong"))
     flagged, zero = F.col("conf") < unsure, lambda c: F.coalesce(c, F.lit(0.0))
-    told = each.groupBy("rec").agg(
+    told = each.groupBy(*by).agg(
         F.count("*").alias("n_notes"), F.count_if("wrong").alias("n_wrong"), F.count_if(flagged).alias("n_flagged"), zero(F.avg(F.when(~F.col("wrong"), F.col("conf")))).alias("mean_right"), zero(F.avg(F.when(F.col("wrong"), F.col("conf")))).alias("mean_wrong"),
         zero(F.avg(F.when(flagged, F.col("wrong").cast("int")))).alias("flag_precision"), zero(F.avg(F.when(F.col("wrong"), flagged.cast("int")))).alias("flag_recall"),
     )
-    ranked = auc(each.select(F.col("rec").alias("grp"), F.col("conf").alias("score"), (~F.col("wrong")).alias("positive")))
-    return told.join(ranked.select(F.col("grp").alias("rec"), "auc"), "rec", "left").withColumn("auc", F.coalesce("auc", F.lit(0.5)))
+    ranked = auc(each.select(F.struct(*by).alias("grp"), F.col("conf").alias("score"), (~F.col("wrong")).alias("positive")))
+    return told.join(ranked.select(*(F.col(f"grp.{c}").alias(c) for c in by), "auc"), list(by), "left").withColumn("auc", F.coalesce("auc", F.lit(0.5)))
 
 
 def same_key(a: Column, b: Column) -> Column:
@@ -114,13 +114,14 @@ def same_key(a: Column, b: Column) -> Column:
     return plain(a) == plain(b)
 
 
-def tune_facts(tunes: DataFrame) -> DataFrame:
-    """tunes(rec, key, meter, tempo, form, and true_ of each): key_right, meter_right, form_right (both forms reduced to the unit that repeats) and tempo_error in percent."""
+def tune_facts(tunes: DataFrame, by: tuple[str, ...] = ("rec",)) -> DataFrame:
+    """tunes(rec or other columns `by`, key, meter, tempo, form, and true_ of each): key_right, meter_right, form_right (both forms reduced to the unit that repeats) and tempo_error in percent."""
     off = F.abs(F.col("tempo") - F.col("true_tempo")) / F.greatest(F.col("true_tempo"), F.lit(1e-6)) * 100
     unit = lambda c: fn.reduced_form(F.coalesce(c, F.lit("")))
-    return tunes.select("rec", same_key(F.col("key"), F.col("true_key")).alias("key_right"), (F.col("meter") == F.col("true_meter")).alias("meter_right"), (unit("form") == unit("true_form")).alias("form_right"), off.alias("tempo_error"))
+    return tunes.select(*by, same_key(F.col("key"), F.col("true_key")).alias("key_right"), (F.col("meter") == F.col("true_meter")).alias("meter_right"), (unit("form") == unit("true_form")).alias("form_right"), off.alias("tempo_error"))
 
 
-def transcription_score(aligned: DataFrame, tunes: DataFrame) -> DataFrame:
-    """All scores of each recording: aligned(rec, pred, truth, path), a row for each section of the truth, and tunes as for tune_facts()."""
-    return recording_accuracy(section_accuracy(aligned.select("rec", "pred", "truth", "path"))).join(calibration(aligned), "rec", "left").join(tune_facts(tunes), "rec", "left")
+def transcription_score(aligned: DataFrame, tunes: DataFrame, by: tuple[str, ...] = ("rec",)) -> DataFrame:
+    """All scores of each recording: aligned(rec, pred, truth, path), a row for each section of the truth, and tunes as for tune_facts(). With other columns `by`, such as a configuration and the rec, of each of their values."""
+    sections = section_accuracy(aligned.select(*by, "pred", "truth", "path"))
+    return recording_accuracy(sections, by).join(calibration(aligned, by=by), list(by), "left").join(tune_facts(tunes, by), list(by), "left")

@@ -12,7 +12,7 @@ from ..operators import frames as fr
 from ..operators import kernels as kn
 from ..operators import music as mu
 from ..sources import frames, notes, table
-from . import arrangement, chains, consensus, decoders, notation, scoring, segments, tunes
+from . import arrangement, chains, consensus, decoders, notation, reports, scoring, segments, tunes
 from .sql import SQL
 
 FLAGSHIP = "voiced_runs"
@@ -219,8 +219,8 @@ _ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*_ALL, *tunes.ALL, *segments.ALL, *chains.ALL, *decoders.ALL, *consensus.ALL, *scoring.ALL, *notation.ALL, *arrangement.ALL)}
+    return {f.__name__: f for f in (*_ALL, *tunes.ALL, *segments.ALL, *chains.ALL, *decoders.ALL, *consensus.ALL, *scoring.ALL, *notation.ALL, *arrangement.ALL, *reports.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | tunes.SQL | segments.SQL | chains.SQL | decoders.SQL | consensus.SQL | scoring.SQL | notation.SQL | arrangement.SQL
+    return SQL | tunes.SQL | segments.SQL | chains.SQL | decoders.SQL | consensus.SQL | scoring.SQL | notation.SQL | arrangement.SQL | reports.SQL

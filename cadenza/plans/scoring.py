@@ -10,7 +10,7 @@ from ..sources import notes
 from .sql import _NOTES
 
 
-def _aligned(spark: SparkSession, d: str) -> DataFrame:
+def pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every block of eight notes against the block before; pitches by their place, some an octave or a semitone off, some notes missing."""
     n = notes(spark, d).where("pitch % 11 > 0")
     pitch = (60 + (F.col("seq") % 8 * 5 + F.col("rec")) % 12 + F.when(F.col("pitch") % 7 == 0, 12).otherwise(0) + F.when(F.col("pitch") % 4 == 0, 1).otherwise(0)).cast("int")
@@ -18,31 +18,36 @@ def _aligned(spark: SparkSession, d: str) -> DataFrame:
     blocks = n.groupBy("rec", F.floor(F.col("seq") / 8).alias("block")).agg(F.array_sort(F.collect_list(note)).alias("x"))
     blocks = blocks.select("rec", "block", F.transform("x", lambda x: F.struct(*(x[c].alias(c) for c in ("pitch", "start", "dur", "conf")))).alias("x"))
     pred = blocks.select("rec", (F.col("block") + 1).alias("block"), F.col("x").alias("pred"))
-    return sc.align_notes(blocks.withColumnRenamed("x", "truth").join(pred, ["rec", "block"]))
+    return blocks.withColumnRenamed("x", "truth").join(pred, ["rec", "block"])
+
+
+def tunes(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of each recording, right for some and wrong for others."""
+    return notes(spark, d).select("rec").distinct().select(
+        "rec", F.when(F.col("rec") % 3 == 0, "Bb").otherwise("D dorian").alias("key"), F.when(F.col("rec") % 2 == 0, "A# Major").otherwise("D dorian").alias("true_key"), F.lit("4/4").alias("meter"), F.when(F.col("rec") % 5 == 0, "3/4").otherwise("4/4").alias("true_meter"),
+        (F.col("rec") + 100.0).alias("tempo"), F.lit(110.0).alias("true_tempo"), F.lit("AABBAABB").alias("form"), F.when(F.col("rec") % 4 == 0, "AB").otherwise("AABB").alias("true_form"),
+    )
 
 
 def section_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    got = sc.section_accuracy(_aligned(spark, d))
+    got = sc.section_accuracy(sc.align_notes(pairs(spark, d)))
     return got.select("rec", "block", *(F.col(c).cast("long").alias(c) for c in ("n_truth", "n_predicted", "n_matched", "insertions", "deletions")), *(F.round(c, 9).alias(c) for c in sc.ACCURACIES))
 
 
 def recording_scores(spark: SparkSession, d: str) -> DataFrame:
-    aligned = _aligned(spark, d)
-    recs = notes(spark, d).select("rec").distinct()
-    tunes = recs.select(
-        "rec", F.when(F.col("rec") % 3 == 0, "Bb").otherwise("D dorian").alias("key"), F.when(F.col("rec") % 2 == 0, "A# Major").otherwise("D dorian").alias("true_key"), F.lit("4/4").alias("meter"), F.when(F.col("rec") % 5 == 0, "3/4").otherwise("4/4").alias("true_meter"),
-        (F.col("rec") + 100.0).alias("tempo"), F.lit(110.0).alias("true_tempo"), F.lit("AABBAABB").alias("form"), F.when(F.col("rec") % 4 == 0, "AB").otherwise("AABB").alias("true_form"),
-    )
-    got = sc.transcription_score(aligned, tunes)
+    got = sc.transcription_score(sc.align_notes(pairs(spark, d)), tunes(spark, d))
     doubles = (*sc.ACCURACIES, "octave_errors", "mean_right", "mean_wrong", "flag_precision", "flag_recall", "auc", "tempo_error")
     return got.select("rec", *(F.col(c).cast("long").alias(c) for c in ("sections", "n_notes", "n_wrong", "n_flagged")), "key_right", "meter_right", "form_right", *(F.round(c, 9).alias(c) for c in doubles))
 
 
 ALL = (section_accuracy, recording_scores)
 
-_PATHS = f"""WITH RECURSIVE {_NOTES}, q AS (SELECT rec, seq // 8 AS block, seq, 60 + (seq % 8 * 5 + rec) % 12 + CASE WHEN pitch % 7 = 0 THEN 12 ELSE 0 END + CASE WHEN pitch % 4 = 0 THEN 1 ELSE 0 END AS p, seq % 8 * 0.75::DOUBLE AS t, 0.5::DOUBLE + pitch % 3 * 0.5::DOUBLE AS d, conf FROM n WHERE pitch % 11 > 0),
-bl AS (SELECT rec, block, list(p ORDER BY seq) AS p, list(t ORDER BY seq) AS t, list(d ORDER BY seq) AS d, list(conf ORDER BY seq) AS c FROM q GROUP BY ALL),
-pr AS (SELECT y.rec, y.block, x.p AS pp, x.t AS pt, x.d AS pd, x.c AS pc, y.p AS tp, y.t AS tt, y.d AS td FROM bl x JOIN bl y ON y.rec = x.rec AND y.block = x.block + 1),
+BLOCKS = f"""WITH RECURSIVE {_NOTES}, q AS (SELECT rec, seq // 8 AS block, seq, 60 + (seq % 8 * 5 + rec) % 12 + CASE WHEN pitch % 7 = 0 THEN 12 ELSE 0 END + CASE WHEN pitch % 4 = 0 THEN 1 ELSE 0 END AS p, seq % 8 * 0.75::DOUBLE AS t, 0.5::DOUBLE + pitch % 3 * 0.5::DOUBLE AS d, conf FROM n WHERE pitch % 11 > 0),
+bl AS (SELECT rec, block, list(p ORDER BY seq) AS p, list(t ORDER BY seq) AS t, list(d ORDER BY seq) AS d, list(conf ORDER BY seq) AS c FROM q GROUP BY ALL)"""
+_PAIRS = """,
+pr AS (SELECT y.rec, y.block, x.p AS pp, x.t AS pt, x.d AS pd, x.c AS pc, y.p AS tp, y.t AS tt, y.d AS td FROM bl x JOIN bl y ON y.rec = x.rec AND y.block = x.block + 1),"""
+#: The best path of each of pr, what it matches (mt) and the scores of sections (se).
+MATCHED = """
 dp AS (SELECT rec, block, 0 AS i, [-1.0::DOUBLE * j FOR j IN range(0, len(tp) + 1)] AS sc, []::INTEGER[][] AS ways FROM pr UNION ALL
   SELECT rec, block, i + 1, nw, list_append(ways, [CASE WHEN nw[j + 1] = sc[j] + w[j] THEN 0 WHEN nw[j + 1] = sc[j + 1] - 1 THEN 1 ELSE 2 END FOR j IN range(1, m + 1)])
   FROM (SELECT *, [list_max([c[k] + k FOR k IN range(1, j + 1)]) - j FOR j IN range(1, m + 2)] AS nw
@@ -57,13 +62,17 @@ cn AS (SELECT rec, block, count(*) FILTER (WHERE way = 0) AS n_matched, count(*)
 se AS (SELECT pr.rec, pr.block, len(tp) AS n_truth, len(pp) AS n_predicted, n_matched, insertions, deletions, a / len(tp) AS pitch, b / len(tp) AS pitch_class, o / len(tp) AS onset, u / len(tp) AS duration,
   1 - levenshtein(array_to_string([chr(x::INTEGER) FOR x IN pp], ''), array_to_string([chr(x::INTEGER) FOR x IN tp], '')) / greatest(len(pp), len(tp)) AS sequence_similarity FROM pr JOIN cn ON cn.rec = pr.rec AND cn.block = pr.block)"""
 
-SQL = {
-    "section_accuracy": _PATHS + " SELECT rec, block, n_truth, n_predicted, n_matched, insertions, deletions, round(pitch, 9) AS pitch, round(pitch_class, 9) AS pitch_class, round(onset, 9) AS onset, round(duration, 9) AS duration, round(sequence_similarity, 9) AS sequence_similarity FROM se",
-    "recording_scores": _PATHS + f""", r AS (SELECT rec, count(*) AS sections, {", ".join(f"sum({c} * n_truth) / sum(n_truth) AS {c}" for c in sc.ACCURACIES)} FROM se GROUP BY rec),
+_PATHS = BLOCKS + _PAIRS + MATCHED
+#: Scores of recordings (r), of their confidence (ca) and its order (au).
+SCORED = f""", r AS (SELECT rec, count(*) AS sections, {", ".join(f"sum({c} * n_truth) / sum(n_truth) AS {c}" for c in sc.ACCURACIES)} FROM se GROUP BY rec),
 k AS (SELECT rec, c, p <> p2 AS wrong FROM mt WHERE way = 0),
 ca AS (SELECT rec, count(*) AS n_notes, count(*) FILTER (WHERE wrong) AS n_wrong, count(*) FILTER (WHERE c < 0.7) AS n_flagged, coalesce(avg(c) FILTER (WHERE NOT wrong), 0) AS mean_right, coalesce(avg(c) FILTER (WHERE wrong), 0) AS mean_wrong,
   coalesce(avg(wrong::INTEGER) FILTER (WHERE c < 0.7), 0) AS flag_precision, coalesce(avg((c < 0.7)::INTEGER) FILTER (WHERE wrong), 0) AS flag_recall FROM k GROUP BY rec),
-au AS (SELECT x.rec, avg(CASE WHEN x.c > y.c THEN 1.0 WHEN x.c = y.c THEN 0.5 ELSE 0.0 END) AS auc FROM k x JOIN k y ON y.rec = x.rec AND y.wrong WHERE NOT x.wrong GROUP BY x.rec)
+au AS (SELECT x.rec, avg(CASE WHEN x.c > y.c THEN 1.0 WHEN x.c = y.c THEN 0.5 ELSE 0.0 END) AS auc FROM k x JOIN k y ON y.rec = x.rec AND y.wrong WHERE NOT x.wrong GROUP BY x.rec)"""
+
+SQL = {
+    "section_accuracy": _PATHS + " SELECT rec, block, n_truth, n_predicted, n_matched, insertions, deletions, round(pitch, 9) AS pitch, round(pitch_class, 9) AS pitch_class, round(onset, 9) AS onset, round(duration, 9) AS duration, round(sequence_similarity, 9) AS sequence_similarity FROM se",
+    "recording_scores": _PATHS + SCORED + f"""
 SELECT r.rec, sections, n_notes, n_wrong, n_flagged, r.rec % 3 <> 0 AND r.rec % 2 <> 0 OR r.rec % 6 = 0 AS key_right, r.rec % 5 <> 0 AS meter_right, r.rec % 4 <> 0 AS form_right, {", ".join(f"round({c}, 9) AS {c}" for c in sc.ACCURACIES)}, round(greatest(0, pitch_class - pitch), 9) AS octave_errors,
   round(mean_right, 9) AS mean_right, round(mean_wrong, 9) AS mean_wrong, round(flag_precision, 9) AS flag_precision, round(flag_recall, 9) AS flag_recall, round(coalesce(auc, 0.5), 9) AS auc, round(abs(r.rec + 100.0::DOUBLE - 110) / 110 * 100, 9) AS tempo_error
 FROM r LEFT JOIN ca ON ca.rec = r.rec LEFT JOIN au ON au.rec = r.rec""",
