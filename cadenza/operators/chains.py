@@ -78,3 +78,29 @@ def least_sure(notes: DataFrame, below: float = 0.7, most: int = 8) -> DataFrame
     """notes(rec, seq, pitch, conf): of each recording the least sure notes below that confidence, in order, `most` at most; null pitches are rests. A report, so the limit is the point of it."""
     nth = F.row_number().over(Window.partitionBy("rec").orderBy("conf", "seq"))
     return notes.where((F.col("conf") < below) & F.col("pitch").isNotNull()).withColumn("rank", nth).where(F.col("rank") <= most)
+
+
+#: Shares of the two commonest pitches above which a line has collapsed onto them or is still concentrated, and that of tunes as they are played.
+COLLAPSED, CONCENTRATED, USUAL = 0.70, 0.58, 0.53
+
+
+def verdict(concentrated: DataFrame, forms: DataFrame) -> DataFrame:
+    """What the spread of a recording's pitches says of its line: concentration() and forms(rec, form) to rec, top2, reading ("collapsed", "concentrated" or "spread"), level ("bad" or "warn"), sectioned and text.
+
+    No level is good, as nothing is held against a truth here. Without a form, or with one section only, a recording isn't
+    sectioned. One without notes has no row; one with a single pitch has collapsed onto it.
+    """
+    tops = concentrated.where("rank <= 2").groupBy("rec").agg(F.sum("share").alias("top2"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "pitch"))), lambda x: x["pitch"].cast("string")), " and ").alias("pitches"))
+    reading = F.when(F.col("top2") > COLLAPSED, "collapsed").when(F.col("top2") > CONCENTRATED, "concentrated").otherwise("spread")
+    form = F.coalesce("form", F.lit(""))
+    told = tops.join(forms.select("rec", "form"), "rec", "left").select("rec", "top2", "pitches", reading.alias("reading"), (~form.isin("", "A")).alias("sectioned"))
+    percent = F.concat(F.round(F.col("top2") * 100).cast("int").cast("string"), F.lit(f" % of the notes are two pitches at most ({USUAL * 100:.0f} % in a tune as played)"))
+    said = F.when(F.col("reading") == "collapsed", F.concat(F.lit("fell onto "), "pitches", F.lit(": "), percent)).when(F.col("reading") == "concentrated", F.concat(F.lit("not yet a melody: "), percent)).otherwise(F.concat(F.lit("spread like a tune: "), percent))
+    text = F.concat(said, F.when(F.col("sectioned"), "").otherwise("; no sections were found"))
+    return told.select("rec", "top2", "reading", F.when(F.col("reading") == "collapsed", "bad").otherwise("warn").alias("level"), "sectioned", text.alias("text"))
+
+
+def pass_spans(notes: DataFrame, by: tuple[str, ...] = ("rec", "label", "pass")) -> DataFrame:
+    """notes(..., seq, start_sec, dur_sec, conf): of each group its notes, their mean confidence, when the first one in order begins and when the last one ends. Nulls in conf don't count."""
+    first, last = F.min_by("start_sec", "seq"), F.max_by(F.col("start_sec") + F.col("dur_sec"), F.col("seq"))
+    return notes.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.avg("conf"), F.lit(0.0)).alias("conf"), first.alias("first_sec"), last.alias("last_sec"))

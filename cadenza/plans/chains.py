@@ -49,7 +49,21 @@ def least_sure_notes(spark: SparkSession, d: str) -> DataFrame:
     return chains.least_sure(notes(spark, d)).select("rec", "rank", "seq", "pitch", F.round("conf", 9).alias("conf"))
 
 
-ALL = (cleaned_frames, segmented_notes, bins_to_pitch, key_names, beat_strength, pitch_concentration, least_sure_notes)
+def line_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Recordings folded to one to eight pitches, by their number, so that lines of all kinds occur."""
+    n = notes(spark, d).withColumn("pitch", (55 + F.col("pitch") % (1 + F.col("rec") % 8)).cast("int"))
+    forms = n.select("rec").distinct().withColumn("form", F.get(F.array(F.lit("AABB"), F.lit("A"), F.lit(None)), (F.col("rec") % 3).cast("int")))
+    return chains.verdict(chains.concentration(n), forms).withColumn("top2", F.round("top2", 9))
+
+
+def pass_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Every 16 notes are a section, every 8 a pass."""
+    label, nth = F.chr(65 + F.floor(F.col("seq") / 16) % 3), F.floor(F.col("seq") / 8)
+    n = notes(spark, d).select("rec", label.alias("label"), nth.alias("pass"), "seq", (F.col("beat") * 60).alias("start_sec"), F.col("dur").alias("dur_sec"), "conf")
+    return chains.pass_spans(n).select("rec", "label", "pass", "n", *(F.round(c, 6).alias(c) for c in ("conf", "first_sec", "last_sec")))
+
+
+ALL = (cleaned_frames, segmented_notes, bins_to_pitch, key_names, beat_strength, pitch_concentration, least_sure_notes, line_verdicts, pass_spans)
 
 _LIST = lambda values: "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + "]"
 
@@ -67,4 +81,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY m DESC, s) AS rank,
 SELECT rec, CAST(rank AS INTEGER) AS rank, pitch, round(m / n, 9) AS share, CAST(n AS BIGINT) AS n FROM r WHERE rank <= 3""",
     "least_sure_notes": f"""WITH {_NOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY conf, seq) AS rank FROM n WHERE conf < 0.7)
 SELECT rec, CAST(rank AS INTEGER) AS rank, seq, pitch, round(conf, 9) AS conf FROM r WHERE rank <= 8""",
+    "line_verdicts": f"""WITH {_NOTES}, c AS (SELECT rec, 55 + pitch % (1 + rec % 8) AS p, count(*) AS m, min(seq) AS s FROM n GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY m DESC, s) AS rank, sum(m) OVER (PARTITION BY rec) AS n FROM c),
+t AS (SELECT rec, sum(m / n) AS top2, string_agg(p::VARCHAR, ' and ' ORDER BY rank) AS ps, [true, false, false][rec % 3 + 1] AS sectioned FROM r WHERE rank <= 2 GROUP BY rec),
+k AS (SELECT *, CASE WHEN top2 > 0.7 THEN 'collapsed' WHEN top2 > 0.58 THEN 'concentrated' ELSE 'spread' END AS reading FROM t)
+SELECT rec, round(top2, 9) AS top2, reading, CASE WHEN reading = 'collapsed' THEN 'bad' ELSE 'warn' END AS level, sectioned, CASE reading WHEN 'collapsed' THEN 'fell onto ' || ps || ': ' WHEN 'concentrated' THEN 'not yet a melody: ' ELSE 'spread like a tune: ' END
+  || CAST(round(top2 * 100) AS INTEGER) || ' % of the notes are two pitches at most (53 % in a tune as played)' || CASE WHEN sectioned THEN '' ELSE '; no sections were found' END AS text FROM k""",
+    "pass_spans": f"""WITH {_NOTES} SELECT rec, chr((65 + seq // 16 % 3)::INTEGER) AS label, seq // 8 AS pass, count(*) AS n, round(avg(conf), 6) AS conf, round(arg_min(beat * 60, seq), 6) AS first_sec, round(arg_max(beat * 60 + dur, seq), 6) AS last_sec FROM n GROUP BY ALL""",
 }

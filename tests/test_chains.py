@@ -107,3 +107,17 @@ def test_keys_are_read_back(spark):
     rows = [("A mixolydian",), ("B- minor",), ("D",), ("E- odd",), ("H major",), (None,)]
     got = [(r.k.tonic, r.k.mode) for r in spark.createDataFrame(rows, "t string").select(fn.parse_key(fn.F.col("t")).alias("k")).collect()]
     assert got == [(9, "mixolydian"), (10, "minor"), (2, "major"), (3, "major"), (None, "major"), (None, "major")]
+
+
+def test_verdicts(spark):
+    lines = {1: [60] * 8 + [62] * 2, 2: [60] * 4 + [62] * 2 + [64] * 2 + [65] * 2, 3: [60, 62, 64, 65, 67], 4: [60, 60]}
+    notes = spark.createDataFrame([(r, i, p) for r, line in lines.items() for i, p in enumerate(line)] + [(5, 0, None)], "rec long, seq long, pitch int")
+    forms = spark.createDataFrame([(1, "AABB"), (2, "A"), (3, None)], "rec long, form string")
+    got = {r.rec: r for r in chains.verdict(chains.concentration(notes), forms).collect()}
+    assert {r: (x.reading, x.level, x.sectioned) for r, x in got.items()} == {1: ("collapsed", "bad", True), 2: ("concentrated", "warn", False), 3: ("spread", "warn", False), 4: ("collapsed", "bad", False)}
+    assert got[1].text.startswith("fell onto 60 and 62: 100 %") and got[4].text.startswith("fell onto 60: ") and got[2].text.endswith("no sections were found")
+
+
+def test_pass_spans(spark):
+    notes = spark.createDataFrame([(1, "A", 0, 1, 2.0, 0.5, 0.4), (1, "A", 0, 0, 1.0, 9.0, None), (1, "B", 1, 2, 3.0, 1.0, None)], "rec long, label string, pass long, seq long, start_sec double, dur_sec double, conf double")
+    assert sorted(tuple(r) for r in chains.pass_spans(notes).collect()) == [(1, "A", 0, 2, 0.4, 1.0, 2.5), (1, "B", 1, 1, 0.0, 3.0, 4.0)]
