@@ -52,7 +52,7 @@ q AS (SELECT *, [62, 59, 55, 50, 67][string] AS o FROM b),
 part AS (SELECT rec, CAST(bar AS BIGINT) AS bar, slot, string, CAST(CASE WHEN held IS NOT NULL THEN held - o WHEN string = 5 THEN 0 ELSE coalesce(list_min([f FOR f IN range(6) IF (o + capo + f - chord + 24) % 12 IN (0, 4, 7)]), 0) END AS INTEGER) AS fret, o, capo, slots, key, held IS NOT NULL AS melody, ['M', 'I', 'T', 'T', 'T'][string] AS finger FROM q)"""
 
 SQL = {
-    "banjo_part": _PART + " SELECT rec, bar, slot, string, fret, o + capo + fret AS pitch, (bar * slots + slot) * 480 AS start_tick, 480 AS dur_tick, melody, finger FROM part",
+    "banjo_part": _PART + " SELECT rec, bar, slot, string, fret, o + capo + fret AS pitch, CAST((bar * slots + slot) * 480 AS BIGINT) AS start_tick, CAST(480 AS BIGINT) AS dur_tick, melody, finger FROM part",
     "banjo_tab": _PART + """, ce AS (SELECT rec, bar, capo, key, slots, string_agg(CASE WHEN string = 1 THEN rpad(fret::VARCHAR, 2, ' ') ELSE '--' END || '-', '' ORDER BY slot) || '|' AS s1, string_agg(CASE WHEN string = 2 THEN rpad(fret::VARCHAR, 2, ' ') ELSE '--' END || '-', '' ORDER BY slot) || '|' AS s2,
   string_agg(CASE WHEN string = 3 THEN rpad(fret::VARCHAR, 2, ' ') ELSE '--' END || '-', '' ORDER BY slot) || '|' AS s3, string_agg(CASE WHEN string = 4 THEN rpad(fret::VARCHAR, 2, ' ') ELSE '--' END || '-', '' ORDER BY slot) || '|' AS s4,
   string_agg(CASE WHEN string = 5 THEN rpad(fret::VARCHAR, 2, ' ') ELSE '--' END || '-', '' ORDER BY slot) || '|' AS s5, string_agg(CASE WHEN melody THEN finger ELSE lower(finger) END || '  ', '' ORDER BY slot) || ' ' AS s6 FROM part GROUP BY ALL),

@@ -60,7 +60,7 @@ def pass_spans(spark: SparkSession, d: str) -> DataFrame:
     """Every 16 notes are a section, every 8 a pass."""
     label, nth = F.chr(65 + F.floor(F.col("seq") / 16) % 3), F.floor(F.col("seq") / 8)
     n = notes(spark, d).select("rec", label.alias("label"), nth.alias("pass"), "seq", (F.col("beat") * 60).alias("start_sec"), F.col("dur").alias("dur_sec"), "conf")
-    return chains.pass_spans(n).select("rec", "label", "pass", "n", *(F.round(c, 6).alias(c) for c in ("conf", "first_sec", "last_sec")))
+    return chains.pass_spans(n).select("rec", "label", "pass", "n", F.round("conf", 9).alias("conf"), *(F.round(c, 6).alias(c) for c in ("first_sec", "last_sec")))
 
 
 ALL = (cleaned_frames, segmented_notes, bins_to_pitch, key_names, beat_strength, pitch_concentration, least_sure_notes, line_verdicts, pass_spans)
@@ -87,5 +87,5 @@ t AS (SELECT rec, sum(m / n) AS top2, string_agg(p::VARCHAR, ' and ' ORDER BY ra
 k AS (SELECT *, CASE WHEN top2 > 0.7 THEN 'collapsed' WHEN top2 > 0.58 THEN 'concentrated' ELSE 'spread' END AS reading FROM t)
 SELECT rec, round(top2, 9) AS top2, reading, CASE WHEN reading = 'collapsed' THEN 'bad' ELSE 'warn' END AS level, sectioned, CASE reading WHEN 'collapsed' THEN 'fell onto ' || ps || ': ' WHEN 'concentrated' THEN 'not yet a melody: ' ELSE 'spread like a tune: ' END
   || CAST(round(top2 * 100) AS INTEGER) || ' % of the notes are two pitches at most (53 % in a tune as played)' || CASE WHEN sectioned THEN '' ELSE '; no sections were found' END AS text FROM k""",
-    "pass_spans": f"""WITH {_NOTES} SELECT rec, chr((65 + seq // 16 % 3)::INTEGER) AS label, seq // 8 AS pass, count(*) AS n, round(avg(conf), 6) AS conf, round(arg_min(beat * 60, seq), 6) AS first_sec, round(arg_max(beat * 60 + dur, seq), 6) AS last_sec FROM n GROUP BY ALL""",
+    "pass_spans": f"""WITH {_NOTES} SELECT rec, chr((65 + seq // 16 % 3)::INTEGER) AS label, seq // 8 AS pass, count(*) AS n, round(avg(conf), 9) AS conf, round(arg_min(beat * 60, seq), 6) AS first_sec, round(arg_max(beat * 60 + dur, seq), 6) AS last_sec FROM n GROUP BY ALL""",
 }
