@@ -26,8 +26,9 @@ class BestLine:
         total, before = alone, None
         for earlier, so_far, node in self.near:
             off = self.cost(earlier, item)
-            if off is not None and so_far + gain - off > total:
-                total, before = so_far + gain - off, node
+            # in the order of the SQL: sums in another order fall either way where two ways are worth the same
+            if off is not None and so_far - off + gain > total:
+                total, before = so_far - off + gain, node
         node = (item, before)
         self.near.append((item, total, node))
         if self.best is None or (-total, rank) < (-self.best[0], self.best[1]):

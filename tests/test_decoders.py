@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from cadenza.operators import decoders as de
+from cadenza.operators.lines import BestLine
 
 FRAGMENTS = "rec long, frag long, start long, pitch array<double>, salience array<double>"
 
@@ -121,3 +122,12 @@ def test_candidates_by_plain_viterbi(spark, lattice, block):
 def test_held_candidates_lose(spark):
     scores = {(r.frame, r.k): r.score for r in de.candidate_scores(spark.createDataFrame([(1, t, k, 70.0 if k else 60.0 + t % 12, 0.5) for t in range(400) for k in (0, 1)], "rec long, frame long, k long, midi double, salience double"), 0.01).collect()}
     assert scores[200, 1] < scores[200, 0]
+
+
+def test_ways_of_one_worth_fall_as_in_the_sql():
+    """Of two ways worth 7.43 the SQL's sums (off first, then gain) are equal, so the earlier holds; with the gain first, the later was a digit larger."""
+    offs = {("p", "x"): 1.24, ("r", "x"): 0.47}
+    line = BestLine(lambda before, item: True, lambda before, item: offs.get((before, item)))
+    for item, gain in (("p", 2.85), ("r", 2.08), ("x", 5.82)):
+        line.add(item, gain, gain)
+    assert line.items() == ["p", "x"]
