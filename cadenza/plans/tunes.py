@@ -12,6 +12,7 @@ from ..operators import form as fo
 from ..operators import music as mu
 from ..operators import sections as se
 from ..sources import HOP, export, frames, notes, table
+from ..storage import stash
 from .sql import _BLOCKS, _FRAMES, _NOTES, _RLE, _RUNS
 
 
@@ -166,9 +167,9 @@ def chance_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identify_above_chance(spark: SparkSession, d: str) -> DataFrame:
-    catalog = mu.ngrams(mu.intervals(notes(spark, d)), 4)
+    catalog = stash(mu.ngrams(mu.intervals(notes(spark, d)), 4))
     heard = mu.ngrams(mu.intervals(ch.walks(spark)), 4)
-    return ch.against_chance(mu.coverage(catalog, catalog), ch.null_baseline(catalog, heard, 40))
+    return ch.identified_above_chance(catalog, catalog, ch.null_baseline(catalog, heard, 40))
 
 
 def notation_tokens(spark: SparkSession, d: str) -> DataFrame:

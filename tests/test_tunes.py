@@ -165,3 +165,17 @@ def test_musicxml(spark, tmp_path):
     (tmp_path / "x.xml").write_text(f"<score-partwise><part>{bars}</part></score-partwise>")
     got = export.read_musicxml(spark, str(tmp_path / "x.xml")).orderBy("section", "measure", "seq").collect()
     assert [(r.section, r.measure, r.pitch, r.dur_tick) for r in got] == [(0, 1, 60, 960), (0, 1, 66, 480), (0, 1, None, 480), (0, 2, 67, 1920), (1, 1, 81, 1440)]
+
+
+def test_best_above_chance_without_a_table_of_pairs(spark):
+    """Blocks of three entries give what the table of all pairs gives, ties and an entry without a baseline included."""
+    rng = random.Random(5)
+    rows = [(o, i, rng.choice((-2, 2, 5))) for o in range(10) for i in range(12)]
+    rows += [(10 + k, i, x) for k in range(3) for o, i, x in rows if o == 4]
+    catalog = mu.ngrams(spark.createDataFrame(rows, "owner long, seq long, x int"), 3).localCheckpoint()
+    walks = mu.ngrams(mu.intervals(chance.walks(spark, 10)), 3)
+    base = chance.null_baseline(catalog, walks, 10).where("tune <> 2").localCheckpoint()
+    got = chance.identified_above_chance(catalog, catalog, base, most=4, block=3)
+    want = chance.against_chance(mu.coverage(catalog, catalog), base, most=4)
+    plain = lambda df: sorted((r.rec, r["rank"], r.tune, round(r.coverage, 9), round(r.z, 6), round(r.margin, 6), r.confident) for r in df.collect())
+    assert plain(got) == plain(want)
