@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reports as re
 from ..operators import scoring as sc
+from ..storage import stash
 from . import scoring
 
 #: The confidence a note must have to be kept.
@@ -18,7 +19,7 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     each = re.with_configurations(scoring.pairs(spark, d), CONFIGURATIONS)
     kept = each.withColumn("pred", F.filter("pred", lambda x: x["conf"] >= F.col("least")))
     facts = re.with_configurations(scoring.tunes(spark, d), CONFIGURATIONS)
-    return sc.transcription_score(sc.align_notes(kept), facts, by)
+    return stash(sc.transcription_score(sc.align_notes(kept), facts, by))
 
 
 def config_comparison(spark: SparkSession, d: str) -> DataFrame:

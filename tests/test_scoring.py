@@ -71,3 +71,17 @@ def test_facts_of_tunes(spark):
     rows = [(1, "Bb", "4/4", 110.0, "AABBAABB", "A# Major", "4/4", 100.0, "AABB"), (2, "D dorian", "3/4", 90.0, None, "D", "4/4", 90.0, "AB")]
     got = {r.rec: tuple(r)[1:] for r in sc.tune_facts(spark.createDataFrame(rows, "rec long, key string, meter string, tempo double, form string, true_key string, true_meter string, true_tempo double, true_form string")).collect()}
     assert got[1] == (True, True, True, pytest.approx(10.0)) and got[2] == (False, False, False, 0.0)
+
+
+def test_pairs_of_all_shapes_are_aligned_once(spark):
+    """Rows of mixed shapes, empty and null sides included, keep their order and paths, also few cells at a time; the scores' plan aligns nothing again."""
+    rng = random.Random(2)
+    side = lambda: None if rng.random() < 0.1 else [(60 + rng.randrange(14), i * 0.5, 0.5, rng.random()) for i in range(rng.randrange(5))]
+    df = spark.createDataFrame([(i, side(), side()) for i in range(60)], PAIRS)
+    for cells in (1, 50, 2_000_000):
+        for r in sc.align_notes(df, cells).collect():
+            of = lambda xs: [(x.pitch, x.start) for x in xs or ()]
+            assert [tuple(x) for x in r.path] == sc.best_path(of(r.pred), of(r.truth)), r
+    facts = spark.createDataFrame([(1, "D", "D", "4/4", "4/4", 1.0, 1.0, "A", "A")], "rec long, key string, true_key string, meter string, true_meter string, tempo double, true_tempo double, form string, true_form string")
+    got = sc.transcription_score(sc.align_notes(df), facts)
+    assert got.count() == 60 and "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
