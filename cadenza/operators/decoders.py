@@ -11,9 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stash
 from .cleaning import persistence
 from .lines import BestLine
 
@@ -177,6 +179,31 @@ def _walk(rows: list, start: np.ndarray, costs: LineCosts) -> tuple[np.ndarray,
     return score, back
 
 
+def _walk_runs(first: np.ndarray, size: np.ndarray, cuts: np.ndarray, midi: np.ndarray, score: np.ndarray, costs: LineCosts) -> np.ndarray:
+    """The best line through each of many runs of frames at once, as _walk() finds it: the candidate of each frame. Run r has the frames first[r] and on, size[r] of them; frame f has the candidates from cuts[f] to cuts[f + 1]."""
+    most = int(np.diff(cuts).max())
+    places = cuts[:-1, None] + np.arange(most)
+    none = places >= cuts[1:, None]
+    places = np.minimum(places, len(midi) - 1)
+    pitch, own = np.where(none, 0.0, midi[places]), np.where(none, -np.inf, score[places])
+    order = np.argsort(-size, kind="stable")
+    first, size = first[order], size[order]
+    best, came = own[first], np.zeros((len(cuts) - 1, most), int)
+    for step in range(1, int(size[0])):
+        live = int(np.searchsorted(-size, -step))
+        at = first[:live] + step
+        total = best[:live, :, None] - _moved(np.abs(pitch[at][:, None, :] - pitch[at - 1][:, :, None]), costs)
+        came[at] = total.argmax(1)
+        best[:live] = total.max(1) + own[at]
+    chosen, k = np.zeros(len(cuts) - 1, int), best.argmax(1)
+    for step in range(int(size[0]) - 1, -1, -1):
+        live = int(np.searchsorted(-size, -step))
+        at = first[:live] + step
+        chosen[at] = k[:live]
+        k[:live] = came[at, k[:live]]
+    return chosen
+
+
 def decode_candidates(candidates: DataFrame, hop: float, costs: LineCosts = COSTS, block: int = 4096) -> DataFrame:
     """candidates(rec, frame, k from 0, midi, salience), several for each frame, to the best line through them: rec, frame, midi, conf.
 
@@ -184,7 +211,8 @@ def decode_candidates(candidates: DataFrame, hop: float, costs: LineCosts = COST
     each block a matrix says what the best way from each of its first candidates to each of its last is worth, a pass over
     these matrices finds where the best line enters and leaves each block, and the blocks are then walked at once. Of ties
     the smaller k holds. Chosen candidates below costs.voiced times the median of the line's are left out; conf is salience
-    by the line's largest. Null pitches aren't candidates.
+    by the line's largest. Null pitches aren't candidates. Runs that aren't cut are walked many at once. Two tables are written to
+    the shared folder on the way.
     """
     typed = candidates.select(F.col("rec").cast("long").alias("rec"), F.col("frame").cast("long").alias("frame"), F.col("k").cast("long").alias("k"), F.col("midi").cast("double").alias("midi"), F.coalesce(F.col("salience").cast("double"), F.lit(0.0)).alias("salience")).where("midi is not null")
     scored = candidate_scores(typed, hop, costs)
@@ -193,6 +221,7 @@ def decode_candidates(candidates: DataFrame, hop: float, costs: LineCosts = COST
     lattice = lattice.withColumn("run", F.col("frame") - F.row_number().over(by) + 1)
     whole = Window.partitionBy("rec", "run")
     lattice = lattice.withColumn("block", F.floor((F.col("frame") - F.min("frame").over(whole)) / block)).withColumn("blocks", F.max("block").over(whole) + 1)
+    lattice = stash(lattice)
     order = ["rec", "run", "block"]
     columns = "rec long, run long, block long, "
 
@@ -238,13 +267,43 @@ def decode_candidates(candidates: DataFrame, hop: float, costs: LineCosts = COST
             picked = [(rec, row[0], row[1][k], row[2][k]) for row, k in zip(rows, ways, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*picked, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["rec", "frame", "midi", "conf"])
 
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by rec, run and frame, none of them of a run that is cut: a batch's whole runs are walked together, the last waits for the next batch."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rec, run = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rec", "run"))
+            last = int(np.flatnonzero((rec != rec[-1]) | (run != run[-1]))[-1]) + 1 if (rec[0], run[0]) != (rec[-1], run[-1]) else 0
+            if held and (last or (held[-1].column("rec")[-1].as_py(), held[-1].column("run")[-1].as_py()) != (rec[0], run[0])):
+                yield lines(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            elif last:
+                yield lines(pa.Table.from_batches([batch.slice(0, last)]))
+            held.append(batch.slice(last))
+        if held:
+            yield lines(pa.Table.from_batches(held))
+
+    def lines(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        rec, run, frame = (table.column(c).to_numpy() for c in ("rec", "run", "frame"))
+        line = table.column("line").combine_chunks()
+        cuts = np.append(0, np.cumsum(line.value_lengths().to_numpy(zero_copy_only=False))).astype(int)
+        items = line.flatten()
+        midi, salience, score = (pc.struct_field(items, c).to_numpy(zero_copy_only=False) for c in ("midi", "salience", "score"))
+        first = np.flatnonzero(np.append(True, (rec[1:] != rec[:-1]) | (run[1:] != run[:-1])))
+        k = _walk_runs(first, np.diff(np.append(first, len(rec))), cuts, midi, score, costs) + cuts[:-1]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((rec, pa.int64()), (frame, pa.int64()), (midi[k], pa.float64()), (salience[k], pa.float64()))], ["rec", "frame", "midi", "conf"])
+
     free = {"entry": F.lit(None).cast("long"), "leave": F.lit(None).cast("long")}
     dealt = lambda rows: rows.select(*order, "frame", "line", "entry", "leave").repartition(*order).sortWithinPartitions(*order, "frame")
     long = lattice.where("blocks > 1").withColumns(free)
     gains = dealt(long).mapInArrow(matrices, columns + "gain array<double>, first array<double>, last array<double>")
     ends = gains.groupBy("rec", "run").applyInArrow(bounds, columns + "entry long, leave long")
     cut = long.drop("entry", "leave").join(ends, order)
-    line = dealt(lattice.where("blocks = 1").withColumns(free).unionByName(cut.select(*lattice.columns, "entry", "leave"))).mapInArrow(walked, "rec long, frame long, midi double, conf double")
+    told = "rec long, frame long, midi double, conf double"
+    whole_runs = lattice.where("blocks = 1").select("rec", "run", "frame", "line").repartition("rec", "run").sortWithinPartitions("rec", "run", "frame").mapInArrow(short, told)
+    line = stash(whole_runs.unionByName(dealt(cut.select(*lattice.columns, "entry", "leave")).mapInArrow(walked, told)))
     usual = line.where("conf > 0").groupBy("rec").agg(F.percentile("conf", F.lit(0.5)).alias("usual"))
     peak = line.groupBy("rec").agg(F.max("conf").alias("peak"))
     heard = line.join(peak, "rec").join(usual, "rec", "left").where("usual is null or conf >= " + str(costs.voiced) + " * usual")

@@ -131,3 +131,18 @@ def test_ways_of_one_worth_fall_as_in_the_sql():
     for item, gain in (("p", 2.85), ("r", 2.08), ("x", 5.82)):
         line.add(item, gain, gain)
     assert line.items() == ["p", "x"]
+
+
+def test_runs_of_all_lengths_over_small_batches(spark):
+    """Many runs, of one to nine frames with one to three candidates, walked together from batches of seven rows, as each alone; the line's plan walks nothing again."""
+    rng = random.Random(8)
+    rows = [(rec, run * 10 + f, k, rng.uniform(60, 75), rng.random() + 0.1) for rec in range(3) for run in range(12) for f in range(rng.randrange(1, 10)) for k in range(rng.randrange(1, 4))]
+    lattice = spark.createDataFrame(rows, "rec long, frame long, k long, midi double, salience double")
+    told = lambda **more: sorted(tuple(r) for r in de.decode_candidates(lattice, 0.02, **more).collect())
+    want = told(block=2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert told() == want
+        assert "MapInArrow" not in de.decode_candidates(lattice, 0.02)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
