@@ -20,6 +20,8 @@ from .sections import measures
 
 #: Slots of a beat, and the slots that a note has at least before a repeated start ends it.
 GRID, LEAST = 4, 2
+#: Sections that a task holds as objects at once.
+ROWS = 256
 KEY = ["rec", "label"]
 
 
@@ -103,7 +105,8 @@ def vote_slots(passes: DataFrame) -> DataFrame:
 def _notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A section's slots, one row of arrays, as notes. A note lasts while its pitch does; a repeated start ends it once it has LEAST slots; silence under half a beat lengthens the note before."""
     kinds = [("rec", pa.int64()), ("label", pa.string()), ("seq", pa.int64()), ("pitch", pa.int32()), ("start", pa.float64()), ("dur", pa.float64()), ("slots", pa.int64()), ("agreement", pa.float64()), ("salience", pa.float64()), ("error", pa.float64()), ("alternatives", pa.list_(pa.struct([("pitch", pa.int32()), ("share", pa.float64())])))]
-    for batch in batches:
+    # a slot is an object of some hundred bytes here, so few sections are held at once
+    for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         out: list[list] = []
         for row in batch.to_pylist():
             slots, made = row["x"], []

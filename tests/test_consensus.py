@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from cadenza.operators import consensus as co
@@ -88,3 +89,12 @@ def test_votes_by_a_plain_fold(spark, seed):
             total = sum(tally.values())
             order = sorted(tally.items(), key=lambda x: -x[1])
             assert got[f"s{k}", s] == (pitch, classes[pc] / total, [(p, w / total) for p, w in order[1:3] if p != pitch])
+
+
+def test_few_sections_are_held_at_once():
+    """A batch of 600 sections comes out in parts, all notes of it once."""
+    slot = pa.struct([("slot", pa.int32()), ("pitch", pa.int32()), ("agreement", pa.float64()), ("salience", pa.float64()), ("error", pa.float64()), ("starts", pa.bool_()), ("alternatives", pa.list_(pa.struct([("pitch", pa.int32()), ("share", pa.float64())])))])
+    rows = [{"rec": i, "label": "A", "x": [{"slot": s, "pitch": 60 + s // 2, "agreement": 1.0, "salience": 0.1, "error": 0.0, "starts": False, "alternatives": []} for s in range(6)]} for i in range(600)]
+    parts = list(co._notes(iter([pa.RecordBatch.from_pylist(rows, pa.schema([("rec", pa.int64()), ("label", pa.string()), ("x", pa.list_(slot))]))])))
+    assert max(len(set(p.column("rec").to_pylist())) for p in parts) <= 256
+    assert [x for p in parts for x in p.column("rec").to_pylist()] == [i for i in range(600) for _ in range(3)]
