@@ -7,6 +7,8 @@ one row; sections are dealt over tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -110,7 +112,8 @@ def _notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = []
         for row in batch.to_pylist():
             slots, made = row["x"], []
-            mean = lambda c, a, b: sum(s[c] for s in slots[a:b]) / (b - a)  # noqa: B023, E731
+            # plain sums in the order of the slots, as SQL has them; Python's sum() compensates
+            mean = lambda c, a, b: reduce(add, (s[c] for s in slots[a:b]), 0.0) / (b - a)  # noqa: B023, E731
             at = 0
             for s in range(1, len(slots) + 1):
                 if s < len(slots) and slots[s]["pitch"] == slots[at]["pitch"] and not (slots[s]["starts"] and s - at >= LEAST):
@@ -128,6 +131,12 @@ def _notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [c for c, _ in kinds])
 
 
+def _mean(df: DataFrame, order: str, value: str) -> DataFrame:
+    """The mean of each section's values, summed in their order, so that reruns agree to the last digit."""
+    rows = df.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("x"))
+    return rows.select(*KEY, (F.aggregate("x", F.lit(0.0), lambda a, x: a + x) / F.size("x")).alias(value))
+
+
 def bar_layout_of(sections: DataFrame) -> DataFrame:
     """sections(rec, label, beats, beats_per_bar, and where known bars and odd) with bars and odd: where they aren't known, whole bars, and an odd one for what is left over."""
     full = F.floor(F.col("beats") / F.col("beats_per_bar")).cast("int")
@@ -167,6 +176,6 @@ def build_sections(notes: DataFrame, sections: DataFrame, enabled: bool = True,
     barred = measures(made.select(both, "seq", "pitch", "start", "dur", "conf", "agreement", "alternatives"), bar_layout_of(sections).select(both, "beats_per_bar", "bars", "odd"))
     barred = barred.select("rec.rec", "rec.label", "seq", "pitch", "start", "dur", "conf", "agreement", "alternatives", "measure")
 
-    agreed = voted.groupBy(*KEY).agg(F.avg("agreement").alias("agreed"))
-    reports = judged.drop("grids").join(agreed, KEY).join(made.groupBy(*KEY).agg(F.avg("conf").alias("conf")), KEY, "left").withColumn("passes", F.size("passes"))
+    agreed, sure = _mean(voted, "slot", "agreement").withColumnRenamed("agreement", "agreed"), _mean(made, "seq", "conf")
+    reports = judged.drop("grids").join(agreed, KEY).join(sure, KEY, "left").withColumn("passes", F.size("passes"))
     return Sections(barred, reports.select(*KEY, "reason", "passes", "used", "excluded", "scores", F.when(F.col("reason") == "single", 0.0).otherwise(F.col("agreed")).alias("mean_agreement"), F.when(F.col("passes") >= 2, 2).otherwise(1).alias("repeats"), F.coalesce("conf", F.lit(0.0)).alias("conf")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import consensus as co
@@ -20,14 +20,19 @@ def _built(spark: SparkSession, d: str) -> co.Sections:
     return co.build_sections(made, sections)
 
 
+def _six(c: str) -> Column:
+    """To six digits as the SQL's round() does: the number times a million decides, not its decimal digits, where a tie is off by a last bit."""
+    return (F.round(F.col(c) * 1e6) / 1e6).alias(c)
+
+
 def built_sections(spark: SparkSession, d: str) -> DataFrame:
     said = F.array_join(F.transform("alternatives", lambda x: F.concat_ws(":", x["pitch"].cast("string"), F.rint(x["share"] * 1000).cast("int").cast("string"))), ",")
-    return _built(spark, d).notes.select("rec", "label", "seq", "pitch", "start", "dur", F.round("conf", 6).alias("conf"), F.round("agreement", 6).alias("agreement"), said.alias("alternatives"), F.col("measure").cast("int").alias("measure"))
+    return _built(spark, d).notes.select("rec", "label", "seq", "pitch", "start", "dur", _six("conf"), _six("agreement"), said.alias("alternatives"), F.col("measure").cast("int").alias("measure"))
 
 
 def section_reports(spark: SparkSession, d: str) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return _built(spark, d).reports.select("rec", "label", "reason", F.col("passes").cast("long").alias("passes"), joined("used"), joined("excluded"), F.round("mean_agreement", 6).alias("mean_agreement"), F.round("conf", 6).alias("conf"))
+    return _built(spark, d).reports.select("rec", "label", "reason", F.col("passes").cast("long").alias("passes"), joined("used"), joined("excluded"), _six("mean_agreement"), _six("conf"))
 
 
 ALL = (built_sections, section_reports)

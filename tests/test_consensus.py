@@ -1,11 +1,14 @@
 """Sections built from passes: planted passes, and a plain fold in Python."""
 
+import itertools
 import random
 
+import duckdb
 import pyarrow as pa
 import pytest
 
 from cadenza.operators import consensus as co
+from cadenza.plans import consensus as plan
 
 NOTES = "rec long, label string, block long, seq long, start double, dur double, pitch int, conf double, error double"
 SECTIONS = "rec long, label string, beats double, beats_per_bar int, bars int, odd double"
@@ -91,6 +94,20 @@ def test_votes_by_a_plain_fold(spark, seed):
             assert got[f"s{k}", s] == (pitch, classes[pc] / total, [(p, w / total) for p, w in order[1:3] if p != pitch])
 
 
+def test_six_digits_as_the_sql_rounds(spark):
+    """Ties of the seventh digit fall as DuckDB's round() lets them."""
+    values = [(k * 1e-6 + 5e-7,) for k in range(700_000, 716_000, 7)]
+    want = duckdb.connect().execute("SELECT round(x, 6) FROM (SELECT unnest($1::DOUBLE[]) AS x)", [[v for (v,) in values]]).fetchall()
+    assert [(r.x,) for r in spark.createDataFrame(values, "x double").coalesce(1).select(plan._six("x")).collect()] == want
+
+
+def test_means_are_sums_in_order(spark):
+    """0.1 + 0.2 + 0.3 is summed by place, whatever the order of the rows."""
+    rows = [(1, "A", i, v) for i, v in ((2, 0.3), (0, 0.1), (1, 0.2))]
+    for some in itertools.permutations(rows):
+        assert co._mean(spark.createDataFrame(list(some), "rec long, label string, seq long, conf double"), "seq", "conf").head().conf == (0.1 + 0.2 + 0.3) / 3
+
+
 def test_few_sections_are_held_at_once():
     """A batch of 600 sections comes out in parts, all notes of it once."""
     slot = pa.struct([("slot", pa.int32()), ("pitch", pa.int32()), ("agreement", pa.float64()), ("salience", pa.float64()), ("error", pa.float64()), ("starts", pa.bool_()), ("alternatives", pa.list_(pa.struct([("pitch", pa.int32()), ("share", pa.float64())])))])
