@@ -11,19 +11,21 @@ from functools import reduce
 from operator import add
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..storage import stash
-from .form import REST, alignment_score
+from .form import REST
 from .sections import measures
 
 #: Slots of a beat, and the slots that a note has at least before a repeated start ends it.
 GRID, LEAST = 4, 2
-#: Sections that a task holds as objects at once.
-ROWS = 256
+#: Sections that a task holds as arrays at once, and the slots of passes, or pairs of passes, that it compares at once.
+ROWS, CELLS = 256, 1 << 20
 KEY = ["rec", "label"]
 
 
@@ -44,15 +46,78 @@ def _spans(notes: DataFrame, sections: DataFrame) -> DataFrame:
     return met.withColumns({"i0": first, "i1": F.least(F.col("n"), F.greatest(first + 1, last))})
 
 
+def _flat(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[pa.Array]]:
+    """The sizes of a column of lists of structs, and fields of all structs, end to end."""
+    held = column.flatten()
+    return column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), [pc.struct_field(held, c) for c in names]
+
+
+def _grids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The notes of a pass, one row of arrays, as its slots."""
+    for batch in batches:
+        size, (seq, i0, i1, pitch) = _flat(batch.column("x"), ("seq", "i0", "i1", "pitch"))
+        i1 = pc.if_else(seq.is_valid(), i1, i0)
+        seq, i0, i1, pitch = (x.fill_null(REST).to_numpy(zero_copy_only=False).astype(np.int64) for x in (seq, i0, i1, pitch))
+        n = batch.column("n").to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(n)), size)
+        order = np.lexsort((seq, row))
+        long, first = np.maximum(i1 - i0, 0)[order], ((np.cumsum(n) - n)[row] + i0)[order]
+        slots = np.full(n.sum(), REST, np.int32)
+        # where an index is repeated the last one holds, so a later note hides an earlier one
+        slots[np.arange(long.sum()) + np.repeat(first - np.cumsum(long) + long, long)] = np.repeat(pitch[order], long)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(slots))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEY, "block", "conf")), lists], [*KEY, "block", "conf", "slots"])
+
+
 def pass_grids(notes: DataFrame, sections: DataFrame) -> DataFrame:
     """The slots of each pass (rec, label, block) of a section as an array (REST: silent), and conf, its notes' mean confidence. A later note hides an earlier one."""
-    spans = _spans(notes, sections)
-    heard = spans.where("i0 < i1").withColumn("slot", F.explode(F.sequence("i0", F.col("i1") - 1))).groupBy(*KEY, "block", "slot").agg(F.max_by("pitch", "seq").alias("pitch"))
-    passes = spans.groupBy(*KEY, "block", "n").agg(F.avg("conf").alias("conf"))
-    every = passes.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(heard, [*KEY, "block", "slot"], "left")
-    pitch = F.coalesce("pitch", F.lit(REST)).cast("int").alias("pitch")
-    rows = every.groupBy(*KEY, "block", "conf").agg(F.array_sort(F.collect_list(F.struct("slot", pitch))).alias("x"))
-    return rows.select(*KEY, "block", F.coalesce("conf", F.lit(0.0)).alias("conf"), F.transform("x", lambda x: x["pitch"]).alias("slots"))
+    rows = _spans(notes, sections).groupBy(*KEY, "block", "n").agg(F.coalesce(F.avg("conf"), F.lit(0.0)).alias("conf"), F.collect_list(F.struct("seq", "i0", "i1", "pitch")).alias("x"))
+    return rows.mapInArrow(_grids, "rec long, label string, block long, conf double, slots array<int>")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, most: int = 2, slack: int = 1) -> np.ndarray:
+    """alignment_score() of many pairs of passes of one length, as (slot, pair). Worths are added in the order of the slots, as SQL does."""
+    sounds, active = a != REST, b != REST
+    reach = range(-most - slack, most + slack + 1)
+    # the worth of each slot of a at each turn of b: the same within `slack` 1, an octave off 0.6
+    same, octave = [], []
+    for by in reach:
+        turned = np.roll(b, by, axis=0)
+        same.append(a == turned)
+        octave.append((turned != REST) & (np.abs(a - turned) % 12 == 0))
+    best = np.zeros(a.shape[1])
+    for turn in range(-most, most + 1):
+        k = turn - reach.start
+        some = range(k - slack, k + slack + 1)
+        worth = np.where(np.any([same[s] for s in some], axis=0), 1.0, np.where(np.any([octave[s] for s in some], axis=0), 0.6, 0.0))
+        worth[~sounds] = 0.0
+        total = reduce(add, worth, np.zeros(a.shape[1]))
+        count = (sounds | np.roll(active, turn, axis=0)).sum(0)
+        best = np.maximum(best, np.where(count == 0, 1.0, total / np.maximum(count, 1)))
+    return best
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each section, one row with its passes (all), alike: of each pass the alignment scores of all passes; none where it isn't to be scored."""
+    for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+        size, (slots,) = _flat(batch.column("all"), ("slots",))
+        length = slots.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        values, at, first = slots.flatten().to_numpy(zero_copy_only=False), np.cumsum(length) - length, np.cumsum(size) - size
+        passes = np.where(batch.column("scored").to_numpy(zero_copy_only=False), size, 0)
+        sizes = np.repeat(passes, passes)
+        mine = np.arange(len(sizes)) + np.repeat(first - np.cumsum(passes) + passes, passes)
+        scores = np.zeros(sizes.sum())
+        a = np.repeat(mine, sizes)
+        b = np.arange(len(a)) + np.repeat(np.repeat(first, passes) - np.cumsum(sizes) + sizes, sizes)
+        for n in np.unique(length):
+            some = np.flatnonzero((length[a] == n) & (length[b] == n)) if n else []
+            step = max(1, CELLS // int(max(n, 1)))
+            for pairs in (some[k : k + step] for k in range(0, len(some), step)):
+                x, y = (values[at[side[pairs]] + np.arange(n)[:, None]] for side in (a, b))
+                scores[pairs] = _alike(x, y)
+        inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(scores))
+        alike = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(passes)), pa.int32()), inner)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEY, "all")), alike], [*KEY, "all", "alike"])
 
 
 def judged_sections(grids: DataFrame, enabled: bool = True, least: int = 2, alike: float = 0.55, weighted: bool = True) -> DataFrame:
@@ -62,16 +127,19 @@ def judged_sections(grids: DataFrame, enabled: bool = True, least: int = 2, alik
     align with it by `alike` count, if they are `least`; unaligned: else the reference alone. single: where voting isn't
     enabled or passes are fewer than `least`, the surest pass, and nothing is scored.
     """
-    rows = grids.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("block", "conf", "slots"))).alias("all"))
+    rows = grids.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("block", "conf", F.col("slots").cast("array<int>").alias("slots")))).alias("all"))
+    kinds = "array<struct<block: bigint, conf: double, slots: array<int>>>"
+    typed = rows.select(F.col("rec").cast("long").alias("rec"), F.col("label").cast("string").alias("label"), F.col("all").cast(kinds).alias("all"))
+    scored = F.lit(enabled) & (F.size("all") >= least)
+    rows = typed.withColumn("scored", scored).mapInArrow(_compared, f"rec long, label string, all {kinds}, alike array<array<double>>")
     mean = lambda xs: F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)).otherwise(1.0)
-    likeness = lambda p: F.transform(F.filter("all", lambda q: q["block"] != p["block"]), lambda q: alignment_score(p["slots"], q["slots"]))
-    votes = F.transform("all", lambda p: F.struct(F.round(mean(likeness(p)) * 0.85 + p["conf"] * 0.15, 9).alias("score"), (-p["block"]).alias("order")))
+    likeness = lambda i: F.filter(F.get("alike", i), lambda _, j: j != i)
+    votes = F.transform("all", lambda p, i: F.struct(F.round(mean(likeness(i)) * 0.85 + p["conf"] * 0.15, 9).alias("score"), (-p["block"]).alias("order")))
     surest = F.array_max(F.transform("all", lambda p: F.struct(p["conf"].alias("conf"), (-p["block"]).alias("order"))))["order"]
     single = F.lit(not enabled) | (F.size("all") < least)
     chosen = rows.withColumn("single", single).withColumn("reference", -F.when(F.col("single"), surest).otherwise(F.array_max(votes)["order"]))
-    model = F.filter("all", lambda p: p["block"] == F.col("reference"))[0]["slots"]
-    chosen = chosen.withColumn("model", model)
-    scored = chosen.withColumn("scores", F.transform("all", lambda p: F.struct(p["block"].alias("block"), F.when(~F.col("single"), F.round(alignment_score(p["slots"], F.col("model")), 9)).alias("score"))))
+    chosen = chosen.withColumn("model", F.array_position(F.transform("all", lambda p: p["block"]), F.col("reference")).cast("int") - 1)
+    scored = chosen.withColumn("scores", F.transform("all", lambda p, i: F.struct(p["block"].alias("block"), F.when(~F.col("single"), F.round(F.get(F.get("alike", i), F.col("model")), 9)).alias("score"))))
     fits = F.transform(F.filter("scores", lambda x: (x["block"] == F.col("reference")) | (x["score"] >= alike)), lambda x: x["block"])
     scored = scored.withColumn("fits", fits)
     alone = F.col("single") | (F.size("fits") < least)
@@ -106,29 +174,48 @@ def vote_slots(passes: DataFrame) -> DataFrame:
 
 def _notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A section's slots, one row of arrays, as notes. A note lasts while its pitch does; a repeated start ends it once it has LEAST slots; silence under half a beat lengthens the note before."""
-    kinds = [("rec", pa.int64()), ("label", pa.string()), ("seq", pa.int64()), ("pitch", pa.int32()), ("start", pa.float64()), ("dur", pa.float64()), ("slots", pa.int64()), ("agreement", pa.float64()), ("salience", pa.float64()), ("error", pa.float64()), ("alternatives", pa.list_(pa.struct([("pitch", pa.int32()), ("share", pa.float64())])))]
-    # a slot is an object of some hundred bytes here, so few sections are held at once
-    for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-        out: list[list] = []
-        for row in batch.to_pylist():
-            slots, made = row["x"], []
-            # plain sums in the order of the slots, as SQL has them; Python's sum() compensates
-            mean = lambda c, a, b: reduce(add, (s[c] for s in slots[a:b]), 0.0) / (b - a)  # noqa: B023, E731
-            at = 0
-            for s in range(1, len(slots) + 1):
-                if s < len(slots) and slots[s]["pitch"] == slots[at]["pitch"] and not (slots[s]["starts"] and s - at >= LEAST):
-                    continue
-                pitch, beats = slots[at]["pitch"], (s - at) / GRID
-                if pitch == REST and beats < 0.5:
-                    if made:
-                        made[-1][5] += beats
-                else:
-                    others = [x for x in slots[at]["alternatives"] if x["pitch"] != REST] if pitch != REST else []
-                    made.append([row["rec"], row["label"], len(made), None if pitch == REST else pitch, at / GRID, beats, s - at, *(mean(c, at, s) for c in ("agreement", "salience", "error")), others])
-                at = s
-            out += made
-        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [c for c, _ in kinds])
+    for batch in batches:
+        yield from (_notes_of(batch.slice(k, ROWS)) for k in range(0, batch.num_rows, ROWS))
+
+
+def _notes_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    size, (pitch, starts, alternatives, *values) = _flat(batch.column("x"), ("pitch", "starts", "alternatives", "agreement", "salience", "error"))
+    pitch, starts = (x.to_numpy(zero_copy_only=False) for x in (pitch, starts))
+    first, values = np.cumsum(size) - size, np.array([x.to_numpy(zero_copy_only=False) for x in values])
+    # one slot of all sections at a time; plain sums in the order of the slots, as SQL has them
+    order = np.argsort(-size, kind="stable")
+    begin, total, begins = first.copy(), np.zeros((3, len(size))), np.zeros(len(pitch), bool)
+    sums = np.zeros((3, len(pitch)))
+    for s in range(size.max(initial=0)):
+        live = order[: np.searchsorted(-size[order], -s)]  # sections of more than s slots
+        at = first[live] + s
+        new = np.full(len(at), True) if s == 0 else (pitch[at] != pitch[at - 1]) | starts[at] & (at - begin[live] >= LEAST)
+        begin[live], begins[at] = np.where(new, at, begin[live]), new
+        sums[:, at] = total[:, live] = np.where(new, 0.0, total[:, live]) + values[:, at]
+    at = np.flatnonzero(begins)
+    ends = np.append(at[1:], len(pitch))
+    slots, section = ends - at, np.searchsorted(np.cumsum(size), at, side="right")
+    silent, dur = pitch[at] == REST, slots / GRID
+    kept = ~(silent & (dur < 0.5))
+    before = np.cumsum(kept) - 1  # of each note the last one kept
+    held = np.flatnonzero(kept)
+    of = section[held]
+    lifts = np.flatnonzero(~kept & (before >= 0))
+    lifts = lifts[of[before[lifts]] == section[lifts]]
+    made = dur[held]
+    np.add.at(made, before[lifts], dur[lifts])
+    at, slots, silent = at[held], slots[held], silent[held]
+    others = alternatives.take(pa.array(at))
+    lengths = others.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = others.flatten()
+    heard = (pc.struct_field(flat, "pitch").to_numpy(zero_copy_only=False) != REST) & ~np.repeat(silent, lengths)
+    counts = np.bincount(np.repeat(np.arange(len(at)), lengths)[heard], minlength=len(at))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), flat.filter(pa.array(heard)))
+    rank = np.arange(len(at)) - np.searchsorted(of, of)
+    keys = [batch.column(c).take(pa.array(of)) for c in KEY]
+    means = [pa.array(sums[c, at + slots - 1] / slots) for c in range(3)]
+    columns = [*keys, pa.array(rank, pa.int64()), pa.array(pitch[at].astype(np.int32), pa.int32(), mask=silent), pa.array((at - first[of]) / GRID), pa.array(made), pa.array(slots, pa.int64()), *means, lists]
+    return pa.RecordBatch.from_arrays(columns, [*KEY, "seq", "pitch", "start", "dur", "slots", "agreement", "salience", "error", "alternatives"])
 
 
 def _mean(df: DataFrame, order: str, value: str) -> DataFrame:
@@ -153,10 +240,12 @@ def build_sections(notes: DataFrame, sections: DataFrame, enabled: bool = True,
     confidence weighs its salience (the confidence of what was heard there), its length, its timing and the agreement of the
     passes; alternatives are what passes had in its first slot and lost. bars and odd (null: none known) are the barring, of
     which only the order is chosen. Passes without notes don't count. See judged_sections() for the others.
-    Recordings' sections are dealt over tasks; two tables are written to the shared folder on the way.
+    Recordings' sections are dealt over tasks; five tables are written to the shared folder on the way.
     """
     typed = notes.select(F.col("rec").cast("long").alias("rec"), F.col("label").cast("string").alias("label"), F.col("block").cast("long").alias("block"), F.col("seq").cast("long").alias("seq"), *(F.col(c).cast("double").alias(c) for c in ("start", "dur", "conf", "error")), F.col("pitch").cast("int").alias("pitch"))
     sections = sections.select(F.col("rec").cast("long").alias("rec"), F.col("label").cast("string").alias("label"), F.col("beats").cast("double").alias("beats"), F.col("beats_per_bar").cast("int").alias("beats_per_bar"), F.col("bars").cast("int").alias("bars"), F.col("odd").cast("double").alias("odd"))
+    # both are read several times, and what they come from is often a long way
+    typed, sections = stash(typed), stash(sections)
     judged = stash(judged_sections(pass_grids(typed, sections), enabled, least, alike, weighted))
     voted = stash(vote_slots(judged.select(*KEY, F.inline("grids"))))
 

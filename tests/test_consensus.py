@@ -115,3 +115,22 @@ def test_few_sections_are_held_at_once():
     parts = list(co._notes(iter([pa.RecordBatch.from_pylist(rows, pa.schema([("rec", pa.int64()), ("label", pa.string()), ("x", pa.list_(slot))]))])))
     assert max(len(set(p.column("rec").to_pylist())) for p in parts) <= 256
     assert [x for p in parts for x in p.column("rec").to_pylist()] == [i for i in range(600) for _ in range(3)]
+
+
+def test_passes_compare_as_the_column_does(spark):
+    """Passes of several lengths, octaves off and silent ones; in build_sections() no row of pairs is left to interpreted lambdas."""
+    from pyspark.sql import functions as F
+
+    from cadenza.operators.form import alignment_score
+
+    rng = random.Random(9)
+    grids = [(rec, "A", b, rng.random(), [rng.choice([-1, 60, 62, 72, 74, 50]) for _ in range(rng.choice([5, 5, 5, 9, 1, 0]))]) for rec in range(40) for b in range(rng.randint(1, 6))]
+    grids += [(99, "A", b, 0.5, [-1] * 5) for b in range(3)]
+    df = spark.createDataFrame(grids, "rec long, label string, block long, conf double, slots array<int>")
+    a, b = df.alias("a"), df.alias("b")
+    pairs = a.join(b, F.expr("a.rec = b.rec")).select("a.rec", F.col("a.block").alias("i"), F.col("b.block").alias("j"), alignment_score(F.col("a.slots"), F.col("b.slots")).alias("score"))
+    want = {(r.rec, r.i, r.j): r.score for r in pairs.collect()}
+    rows = df.groupBy("rec", "label").agg(F.array_sort(F.collect_list(F.struct("block", "conf", "slots"))).alias("all")).withColumn("scored", F.lit(True))
+    got = rows.mapInArrow(co._compared, "rec long, label string, all array<struct<block: bigint, conf: double, slots: array<int>>>, alike array<array<double>>").collect()
+    assert {(r.rec, i, j): x for r in got for i, some in enumerate(r.alike) for j, x in enumerate(some)} == want
+    assert "transform" not in co.judged_sections(df)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1]
