@@ -6,7 +6,7 @@ plan, spread over small maps by a checksum so that one lookup reads one of them.
 the same numbers (Latin-1), so that parts are strings.
 
 To bring the ids back to the texts, a block of texts is the numbers of its words in the block's own list of words. The lists
-go to the words' tasks, and from there the ids to the block's task; the words of a text never cross the network one by one.
+go to the words' tasks, and from there the ids, packed, to the block's task; the words of a text never cross the network one by one.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ from . import text as tx
 #: Small maps that the ranks are spread over.
 MAPS = 1 << 15
 #: Bytes of texts in a block. Bytes of the longest word that is folded, which takes steps by length squared; longer ones are merged with a heap, alike.
-BLOCK, FOLDED = 32 << 20, 64
-#: Words of a block whose ids are put together at once.
-WORDS = 1 << 19
+BLOCK, FOLDED = 16 << 20, 64
+#: Words whose ids are put together, or packed, at once.
+WORDS = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -186,10 +186,47 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(words)], pa.int32()), one(doc_ids), one(counts), pa.array([_packed(numbers)], pa.binary()), one(at), one(words.take(pa.array(at)))], ["block", "n", "doc_id", "counts", "numbers", "long_at", "long"])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of words, a row each, as a row for each block: how many words and ids, and, packed, their places in the block's list as steps, the number of ids of each, and the ids."""
+
+    def closed() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        block, at, lists = table.column("block").to_numpy(), table.column("at").to_numpy(), table.column("ids").combine_chunks()
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((at, block))
+        block, at, starts, size = block[order], at[order], (np.cumsum(size) - size)[order], size[order]
+        ends = np.cumsum(size)
+        ids = lists.flatten().to_numpy(zero_copy_only=False)[np.arange(size.sum()) + np.repeat(starts - ends + size, size)]
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        rows = []
+        for i, j in zip(first, np.append(first[1:], len(block)), strict=True):
+            some = ids[ends[i] - size[i] : ends[j - 1]]
+            rows.append((block[i], j - i, len(some), _packed(np.concatenate([np.diff(at[i:j], prepend=0), size[i:j], some]).astype(np.int32))))
+        kinds = {"block": pa.int64(), "words": pa.int64(), "n_ids": pa.int64(), "packed": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= WORDS:
+            yield closed()
+            held, n = [], 0
+    if held:
+        yield closed()
+
+
 def _encoded(ranks: dict[bytes, int]):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         """The ids of a block's texts; equal blocks meet here, each as a row of texts, and their words with them."""
-        at, lists = words.column("at").to_numpy(), words.column("ids").combine_chunks()
+        parts: tuple[list, list, list] = ([], [], [])
+        for row in words.to_pylist():
+            some = _unpacked(row["packed"], 2 * row["words"] + row["n_ids"])
+            for out, x in zip(parts, np.split(some, [row["words"], 2 * row["words"]]), strict=True):
+                out.append(x)
+        empty = [np.zeros(0, np.int32)]
+        at, size, ids = np.concatenate([*map(np.cumsum, parts[0]), *empty]).astype(np.int64), np.concatenate(parts[1] + empty), np.concatenate(parts[2] + empty)
         rows = texts.to_pylist()
         made = []
         for row in rows:
@@ -197,9 +234,8 @@ def _encoded(ranks: dict[bytes, int]):
             for k, word in zip(row["long_at"], row["long"], strict=True):
                 held[k] = np.array(merged(word.encode(), ranks), np.int32)
             lengths, starts = np.zeros(row["n"], np.int64), np.zeros(row["n"], np.int64)
-            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            lengths[at], starts[at] = size, np.cumsum(size) - size
-            flat = [lists.flatten().to_numpy(zero_copy_only=False)]
+            lengths[at], starts[at] = size, np.cumsum(size, dtype=np.int64) - size
+            flat = [ids]
             base = len(flat[0])
             for k in row["long_at"]:
                 lengths[k], starts[k] = len(held[k]), base
@@ -207,16 +243,16 @@ def _encoded(ranks: dict[bytes, int]):
                 base += len(held[k])
             if row["n"] and not lengths.all():
                 raise RuntimeError("the texts were not the same when read again; encode a written table")
-            flat, counts = np.concatenate(flat), np.array(row["counts"], np.int64)
+            whole, counts = np.concatenate(flat), np.array(row["counts"], np.int64)
             numbers, first = _unpacked(row["numbers"], int(counts.sum())), 0
             for start, stop in tx.cuts(counts, WORDS):
                 some = numbers[first : first + int(counts[start:stop].sum())]
                 first += len(some)
                 each = lengths[some]
                 ends = np.cumsum(each)
-                ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[some] - ends + each, each)]
+                found = whole[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[some] - ends + each, each)]
                 of_text = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts[start:stop])])]
-                made.append(pa.table({"doc_id": pa.array(row["doc_id"][start:stop], pa.int64()), "ids": tx.listed(ids.astype(np.int32), np.diff(of_text), pa.int32())}))
+                made.append(pa.table({"doc_id": pa.array(row["doc_id"][start:stop], pa.int64()), "ids": tx.listed(found.astype(np.int32), np.diff(of_text), pa.int32())}))
         return pa.concat_tables(made) if made else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
 
     return run
@@ -236,6 +272,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     ids = F.when(F.col("nth") == 1, folded(latin, rank_table(ranks)))
     coded = words.withColumn("nth", F.row_number().over(same)).withColumn("ids", ids)
     coded = coded.select("block", "at", F.last("ids", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)).alias("ids"))
+    coded = coded.mapInArrow(_gathered, "block long, words long, n_ids long, packed binary")
     texts = split.mapInArrow(_texts, "block long, n int, doc_id array<long>, counts array<long>, numbers binary, long_at array<int>, long array<string>")
     return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_encoded(ranks), "doc_id long, ids array<int>")
 

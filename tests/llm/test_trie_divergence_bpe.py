@@ -180,3 +180,24 @@ def test_bpe_query(spark, library):
     for r in got:
         ids = library.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+def test_ids_of_words_travel_packed(monkeypatch):
+    """Rows of words come out as few rows of their blocks, from which all ids are read back, also where a task packs them in parts."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    rows = [(b, at, [rng.randint(0, 50_000) for _ in range(rng.randint(1, 9))]) for b in (-5, 3, 8) for at in rng.sample(range(70_000), 400)]
+    rng.shuffle(rows)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[i : i + 70], strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)], ["block", "at", "ids"]) for i in range(0, 1200, 70)]
+    for words, most in ((1 << 19, 3), (200, 18)):
+        monkeypatch.setattr(byte_bpe, "WORDS", words)
+        out = [r for b in byte_bpe._gathered(iter(batches)) for r in b.to_pylist()]
+        got = []
+        for r in out:
+            at, size, ids = np.split(byte_bpe._unpacked(r["packed"], 2 * r["words"] + r["n_ids"]), [r["words"], 2 * r["words"]])
+            ends = np.cumsum(size)
+            got += [(r["block"], a, ids[e - s : e].tolist()) for a, s, e in zip(np.cumsum(at).tolist(), size, ends, strict=True)]
+        assert sorted(got) == sorted(rows) and len(out) <= most
+    assert sum(len(r["packed"]) for r in out) < 16 * len(rows)
