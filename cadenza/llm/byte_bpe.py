@@ -31,8 +31,10 @@ from . import text as tx
 MAPS = 1 << 15
 #: Bytes of texts in a block. Bytes of the longest word that is folded, which takes steps by length squared; longer ones are merged with a heap, alike.
 BLOCK, FOLDED = 16 << 20, 64
-#: Words whose ids are put together, or packed, at once.
-WORDS = 1 << 18
+#: Bytes of texts whose words are numbered at once, on their way into a block.
+PART = 2 << 20
+#: Words whose ids are packed at once, and those that one array pass puts together.
+WORDS, PASS = 1 << 18, 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -132,32 +134,43 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, pa.Array]]:
-    """Of each block: a digest of all it holds, its doc_ids, the words in each text, the number of each word, and the words that have the numbers, commonest first."""
+    """Of each block: a digest of all it holds, its doc_ids, the words in each text, the number of each word, and the words that have the numbers, commonest first.
 
-    def closed() -> tuple:
-        lists = pa.chunked_array([x.column("words") for x in held]).combine_chunks()
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    A part of a block is held as numbers of its own distinct words; its batch is let go, as batches are several times the text.
+    """
+
+    def encoded(part: pa.RecordBatch) -> tuple:
+        lists = part.column("words")
         coded = lists.flatten().dictionary_encode()
-        numbers = coded.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(-np.bincount(numbers, minlength=len(coded.dictionary)), kind="stable")
+        doc_ids = part.column("doc_id").take(pa.array(np.arange(part.num_rows)))  # a copy; a slice holds its batch
+        return doc_ids, pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+    def closed() -> tuple:
+        doc_ids, counts, parts, lists = zip(*held, strict=True)
+        held.clear()
+        coded = pa.chunked_array(lists).combine_chunks().dictionary_encode()
+        of_part = coded.indices.to_numpy(zero_copy_only=False)
+        starts = np.cumsum([len(x) for x in lists]) - [len(x) for x in lists]
+        numbers, words = np.concatenate([of_part[start:][x] for start, x in zip(starts, parts, strict=True)]), coded.dictionary
+        del parts, lists
+        order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
         of = np.empty(len(order), np.int32)
         of[order] = np.arange(len(order), dtype=np.int32)
-        numbers, words = of[numbers], coded.dictionary.take(pa.array(order))
+        numbers, words, counts = of[numbers], words.take(pa.array(order)), np.concatenate(counts)
         digest = hashlib.blake2b(digest_size=8)
         for x in (counts, numbers, *tx.buffer(words)):
             digest.update(np.ascontiguousarray(x))
-        doc_ids = pa.chunked_array([x.column("doc_id") for x in held]).combine_chunks()
-        return int.from_bytes(digest.digest(), "little", signed=True), doc_ids, counts, numbers, words
+        return int.from_bytes(digest.digest(), "little", signed=True), pa.concat_arrays(doc_ids), counts, numbers, words
 
     held, size = [], 0
     for batch in batches:
-        for start, stop in tx.cuts(batch.column("bytes").to_numpy(), BLOCK):
+        for start, stop in tx.cuts(batch.column("bytes").to_numpy(), min(PART, BLOCK)):
             part = batch.slice(start, stop - start)
             more = pc.sum(part.column("bytes")).as_py()
             if held and size + more > BLOCK:
                 yield closed()
-                held, size = [], 0
-            held.append(part)
+                size = 0
+            held.append(encoded(part))
             size += more
     if held:
         yield closed()
@@ -170,7 +183,11 @@ def _packed(numbers: np.ndarray) -> bytes:
 
 def _unpacked(packed: bytes, n: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(packed, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
-    return sum(plane.astype(np.int32) << shift for plane, shift in zip(planes, (0, 8, 16, 24), strict=True))
+    out = planes[0].astype(np.int32)
+    for plane, shift in zip(planes[1:], (8, 16, 24), strict=True):
+        if plane.any():
+            out |= plane.astype(np.int32) << shift
+    return out
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +234,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed()
 
 
-def _encoded(ranks: dict[bytes, int]):
+def _encoded(ranks: dict[bytes, int], finish=None):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         """The ids of a block's texts; equal blocks meet here, each as a row of texts, and their words with them."""
         parts: tuple[list, list, list] = ([], [], [])
@@ -245,25 +262,26 @@ def _encoded(ranks: dict[bytes, int]):
                 raise RuntimeError("the texts were not the same when read again; encode a written table")
             whole, counts = np.concatenate(flat), np.array(row["counts"], np.int64)
             numbers, first = _unpacked(row["numbers"], int(counts.sum())), 0
-            for start, stop in tx.cuts(counts, WORDS):
+            for start, stop in tx.cuts(counts, PASS):
                 some = numbers[first : first + int(counts[start:stop].sum())]
                 first += len(some)
                 each = lengths[some]
                 ends = np.cumsum(each)
                 found = whole[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[some] - ends + each, each)]
                 of_text = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts[start:stop])])]
-                made.append(pa.table({"doc_id": pa.array(row["doc_id"][start:stop], pa.int64()), "ids": tx.listed(found.astype(np.int32), np.diff(of_text), pa.int32())}))
-        return pa.concat_tables(made) if made else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+                made.append(pa.RecordBatch.from_arrays([pa.array(row["doc_id"][start:stop], pa.int64()), tx.listed(found.astype(np.int32), np.diff(of_text), pa.int32())], ["doc_id", "ids"]))
+                if finish:
+                    made[-1] = finish(made[-1])
+        if not made:
+            none = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            made = [finish(none) if finish else none]
+        return pa.Table.from_batches(made)
 
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """docs(doc_id, text) to doc_id, ids (array of int), a row for each row. A null or empty text has no ids.
-
-    docs is read twice and must give the same texts in the same order, as the files of a table do; if it doesn't, the job
-    ends with an error. Special tokens are ordinary text. Other columns aren't read.
-    """
+def _encode(docs: DataFrame, pattern: str, ranks: dict[bytes, int], together, schema: str) -> DataFrame:
+    """A block's packed texts and words as `together` puts them together."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("bytes"), F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)).alias("words"))
     words = split.mapInArrow(_words, "block long, at int, word string")
@@ -274,7 +292,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     coded = coded.select("block", "at", F.last("ids", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)).alias("ids"))
     coded = coded.mapInArrow(_gathered, "block long, words long, n_ids long, packed binary")
     texts = split.mapInArrow(_texts, "block long, n int, doc_id array<long>, counts array<long>, numbers binary, long_at array<int>, long array<string>")
-    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_encoded(ranks), "doc_id long, ids array<int>")
+    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(together, schema)
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """docs(doc_id, text) to doc_id, ids (array of int), a row for each row. A null or empty text has no ids.
+
+    docs is read twice and must give the same texts in the same order, as the files of a table do; if it doesn't, the job
+    ends with an error. Special tokens are ordinary text. Other columns aren't read.
+    """
+    return _encode(docs, pattern, ranks, _encoded(ranks), "doc_id long, ids array<int>")
 
 
 def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
@@ -313,24 +340,37 @@ class _Joined:
         return self.data[np.arange(ends[-1]) + np.repeat(self.starts[numbers] - ends[:-1], each)], ends
 
 
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digests(pieces: list[bytes]):
+    tables: list[_Joined] = []
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not tables:  # once in a task
+            tables.extend((_Joined([b" %d" % i for i in range(len(pieces))]), _Joined(pieces)))
+        lists = batch.column("ids")
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, first, made = lists.flatten().to_numpy(zero_copy_only=False), 0, ([], [])
+        for start, stop in tx.cuts(counts, PASS):
+            inside = np.concatenate([[0], np.cumsum(counts[start:stop])])
+            some = flat[first : first + inside[-1]]
+            first += inside[-1]
+            for out, table, skip in zip(made, tables, (1, 0), strict=True):
+                data, ends = table(some)
+                at = ends[inside]
+                out += [hashlib.sha256(data[a + skip * (b > a) : b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), *(pa.array(x, pa.string()) for x in made)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
 def digests(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """coded(doc_id, ids) to doc_id, n_tokens, ids_sha256 (of the ids in decimal, joined by a space) and decoded_sha256 (of the bytes that the ids stand for)."""
-    pieces = _pieces(ranks)
+    digest = _digests(_pieces(ranks))
+    return coded.select("doc_id", "ids").mapInArrow(lambda batches: map(digest, batches), DIGESTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said, whole = _Joined([b" %d" % i for i in range(len(pieces))]), _Joined(pieces)
-        for batch in batches:
-            lists = batch.column("ids")
-            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat, first, made = lists.flatten().to_numpy(zero_copy_only=False), 0, ([], [])
-            for start, stop in tx.cuts(counts, WORDS):
-                inside = np.concatenate([[0], np.cumsum(counts[start:stop])])
-                some = flat[first : first + inside[-1]]
-                first += inside[-1]
-                for out, table, skip in zip(made, (said, whole), (1, 0), strict=True):
-                    data, ends = table(some)
-                    at = ends[inside]
-                    out += [hashlib.sha256(data[a + skip * (b > a) : b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), *(pa.array(x, pa.string()) for x in made)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def encoded_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """digests(encode(docs, ...)), with a text's ids digested in the task that puts them together: one Python worker a core instead of two, and no ids pass between them."""
+    return _encode(docs, pattern, ranks, _encoded(ranks, _digests(_pieces(ranks))), DIGESTS)

@@ -201,3 +201,52 @@ def test_ids_of_words_travel_packed(monkeypatch):
             got += [(r["block"], a, ids[e - s : e].tolist()) for a, s, e in zip(np.cumsum(at).tolist(), size, ends, strict=True)]
         assert sorted(got) == sorted(rows) and len(out) <= most
     assert sum(len(r["packed"]) for r in out) < 16 * len(rows)
+
+
+def test_a_block_holds_numbers_of_words(tmp_path, monkeypatch):
+    """While a block fills, the batches that it was made of are let go; its words, their numbers and its texts are all there, however it is cut into parts."""
+    import pyarrow as pa
+
+    said = [f"{k:03d}" * 20 for k in range(40)]
+    rng = random.Random(7)
+    texts = [[rng.choice(said) for _ in range(rng.randint(0, 400))] for _ in range(400)]
+    before, most = pa.total_allocated_bytes(), []
+    schema = pa.schema({"doc_id": pa.int64(), "bytes": pa.int64(), "words": pa.list_(pa.string())})
+    with pa.OSFile(f"{tmp_path}/docs", "wb") as file, pa.ipc.new_stream(file, schema) as out:
+        for i in range(0, 400, 40):
+            out.write_batch(pa.record_batch([[None if k == 3 else i + k for k in range(40)], [sum(map(len, x)) for x in texts[i : i + 40]], texts[i : i + 40]], schema))
+
+    def batches():
+        with pa.OSFile(f"{tmp_path}/docs") as file:
+            for batch in pa.ipc.open_stream(file):
+                most.append(pa.total_allocated_bytes() - before)
+                yield batch
+
+    size = sum(len(w) for x in texts for w in x)
+    for part, block in ((2 << 20, 1 << 30), (9000, 1 << 30), (9000, 700_000)):
+        monkeypatch.setattr(byte_bpe, "PART", part)
+        monkeypatch.setattr(byte_bpe, "BLOCK", block)
+        got, ids, n = [], [], 0
+        for _, doc_ids, counts, numbers, words in byte_bpe._blocks(batches()):
+            flat, words, n = iter(numbers.tolist()), words.to_pylist(), n + 1
+            got += [[words[next(flat)] for _ in range(c)] for c in counts.tolist()]
+            ids += doc_ids.to_pylist()
+            assert len(set(words)) == len(words) and next(flat, None) is None
+        assert got == texts and ids == [None if k % 40 == 3 else k for k in range(400)]
+        assert n == 1 if block > size else n > 3
+    assert max(most[:10]) < size / 2
+
+
+def test_bpe_in_small_passes(spark, tmp_path, monkeypatch, ranks, library):
+    monkeypatch.setattr(byte_bpe, "PASS", 7)
+    monkeypatch.setattr(byte_bpe, "PART", 100)
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["token", "ization", "é", "本x", "12345", "=" * 70]) for _ in range(rng.randint(0, 30)))) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    want = {k: library.encode_ordinary(t) for k, t in rows}
+    want = {k: (len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for (k, t), x in zip(rows, want.values(), strict=True)}
+    for found in (byte_bpe.digests(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks), byte_bpe.encoded_digests(docs, ranks, public_tokenizers.PATTERN)):
+        assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == want
+    plan = byte_bpe.encoded_digests(docs, ranks, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # none stands behind the one that puts ids together
