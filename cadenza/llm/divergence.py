@@ -23,24 +23,42 @@ from .store import attached, stash
 
 #: Documents of a language that a kept term is in at least, terms ranked for each group, and what shares are scaled by.
 LEAST, TOP, SCALE = 3, 200, 1_000_000_000
-#: Terms of a shard, rounds that one job plays, and bytes of text whose terms are counted at once.
-SHARD, ROUNDS, BYTES = 1 << 16, 256, 8 << 20
+#: Terms of a shard, rounds that one job plays, rows of terms (and groups) that a task holds before it sums them, and rows that it hands on at once.
+SHARD, ROUNDS, HELD, OUT = 1 << 16, 256, 1 << 19, 1 << 15
+
+
+def _of_slice(batch: pa.RecordBatch, groups: dict[tuple[str, str], int]) -> pa.RecordBatch:
+    """Occurrences and documents of each term, for each group among the texts of one slice; groups not met before are numbered."""
+    w = tx.words(batch.column("text"), tx.LETTERS)
+    of_doc = np.array([groups.setdefault(x, len(groups)) for x in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)], np.int64)
+    terms, first, term = np.unique(w.hashes, return_index=True, return_inverse=True)
+    size = max(1, len(terms))
+    pairs, n = np.unique(w.text_of_word().astype(np.int64) * size + term, return_counts=True)
+    keys, at = np.unique(of_doc[pairs // size] * size + pairs % size, return_inverse=True)
+    counts = [pa.array(np.bincount(at, weights, len(keys)).astype(np.int64)) for weights in (n, None)]
+    return pa.RecordBatch.from_arrays([pa.array((keys // size).astype(np.int32)), tx.spelled(w, first[keys % size]), *counts], ["group", "term", "n", "docs"])
+
+
+def _summed(parts: list[pa.RecordBatch], groups: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
+    """The counts of several slices as one row for each group and term, a few rows at once."""
+    table = pa.Table.from_batches(parts).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    parts.clear()
+    names = [pa.array([x[k] for x in groups], pa.string()) for k in (0, 1)]
+    for batch in table.to_batches(OUT):
+        yield pa.RecordBatch.from_arrays([*(x.take(batch.column("group")) for x in names), *(batch.column(c) for c in ("term", "n_sum", "docs_sum"))], ["lang", "source", "term", "n", "docs"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each term, for each group among some texts."""
-    for batch in tx.slices(batches, most=BYTES):
-        w = tx.words(batch.column("text"), tx.LETTERS)
-        codes: dict[tuple[str, str], int] = {}
-        of_doc = np.array([codes.setdefault(x, len(codes)) for x in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)], np.int64)
-        terms, first, term = np.unique(w.hashes, return_index=True, return_inverse=True)
-        size = max(1, len(terms))
-        pairs, n = np.unique(w.text_of_word().astype(np.int64) * size + term, return_counts=True)
-        keys, at = np.unique(of_doc[pairs // size] * size + pairs % size, return_inverse=True)
-        names = list(codes)
-        lang, source = (pa.array([x[k] for x in names], pa.string()).take(pa.array(keys // size)) for k in (0, 1))
-        counts = [pa.array(np.bincount(at, weights, len(keys)).astype(np.int64)) for weights in (n, None)]
-        yield pa.RecordBatch.from_arrays([lang, source, tx.spelled(w, first[keys % size]), *counts], ["lang", "source", "term", "n", "docs"])
+    """Occurrences and documents of each term, for each group among some texts. Words as arrays take many times the bytes of their texts, so slices are small, and what several hold is summed."""
+    parts: list[pa.RecordBatch] = []
+    groups: dict[tuple[str, str], int] = {}
+    for batch in tx.slices(batches):
+        parts.append(_of_slice(batch, groups))
+        if sum(x.num_rows for x in parts) + len(groups) >= HELD:
+            yield from _summed(parts, groups)
+            groups = {}
+    if parts:
+        yield from _summed(parts, groups)
 
 
 def _packed(table: pa.Table) -> pa.Table:

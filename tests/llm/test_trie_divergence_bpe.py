@@ -116,6 +116,42 @@ def test_divergence_by_brute_force(spark, monkeypatch, shard, rounds):
     assert sorted(tuple(r) for r in divergence.divergence(docs).select("lang", "source", "part", "item", "value", "rank").collect()) == divergence_by_hand(rows)
 
 
+def test_terms_are_counted_in_small_slices(monkeypatch):
+    """Counting takes a small multiple of some MB of text, however much a batch has; what it hands on sums to the counts of all texts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(3, 9))) for _ in range(5000)]
+    rows = [("en" if k % 3 else "de", f"s{k % 7}", " ".join(rng.choices(words, k=300))) for k in range(3500)]
+    n, docs = Counter(), Counter()
+    for lang, source, text in rows:
+        n.update((lang, source, t) for t in text.split())
+        docs.update((lang, source, t) for t in set(text.split()))
+    schema = pa.schema({"lang": pa.string(), "source": pa.string(), "text": pa.string()})
+    whole = pa.record_batch([list(c) for c in zip(*rows, strict=True)], schema)
+    assert whole.nbytes > 7 << 20
+    tracemalloc.start()
+    for _ in divergence._counted(iter([whole])):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+    none = pa.record_batch([["en"] * 3, ["s0", "x", "y"], ["", None, "1 2"]], schema)
+    for held, out in ((1 << 19, 1 << 15), (30_000, 999)):
+        monkeypatch.setattr(divergence, "HELD", held)
+        monkeypatch.setattr(divergence, "OUT", out)
+        got, got_docs = Counter(), Counter()
+        for batch in divergence._counted(iter([none, *(whole.slice(i, 70) for i in range(0, 3500, 70)), none])):
+            assert batch.num_rows <= out
+            for *key, x, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got[tuple(key)] += x
+                got_docs[tuple(key)] += d
+        assert got == n and got_docs == docs
+    assert not list(divergence._counted(iter([]))) and not sum(b.num_rows for b in divergence._counted(iter([none])))
+
+
 def test_divergence_of_nothing(spark):
     assert divergence.divergence(spark.createDataFrame([], "lang string, source string, text string")).count() == 0
 
