@@ -1,12 +1,14 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import os
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cadenza.llm import chat, components, decontaminate, fingerprints, learn, licenses, minhash, mixing, quality, secret_scan, suffixes, toxicity
+from cadenza.llm import chat, components, decontaminate, fingerprints, learn, licenses, minhash, mixing, quality, secret_scan, store, suffixes, toxicity
 
 ROWS = [(1, None, None), (2, "", "a"), (3, "   \n", "a"), (4, "word", "b"), (5, "word", "b"), (5, "word", "b"), (None, "a text without an id", None), (None, None, "a"), (7, "é😀 " * 3000, "b"), (8, "x" * 40_000, "a"), (9, " ".join(f"t{i % 900}" for i in range(30_000)), "b")]
 SCHEMA = "doc_id long, text string, source string"
@@ -86,6 +88,39 @@ def test_one_id_with_two_texts_joins_their_groups(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(rows).collect()} == {1: 1, 5: 1, 9: 1}
 
 
+def _shuffle_files(spark):
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    found = set()
+    while held.hasNext():
+        found.add(held.next().getName())
+    return {x for x in found if x.startswith("shuffle_")}
+
+
+def _tables(spark):
+    return set(Path(store.shared_folder(spark).removeprefix("file://")).glob("stash-*"))
+
+
+def test_what_was_shuffled_for_a_table_goes_with_its_writing(spark):
+    before, was = _shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = spark.range(20_000).select(F.col("id"), (F.col("id") % 5_000).alias("k"))
+    kept = store.stash(store.salted(rows, rows.groupBy("k").agg(F.count("*").alias("n")), ["k"]))
+    for _ in range(20):  # files are deleted in the background
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.5)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
+    assert kept.count() == 20_000 and kept.agg(F.sum("n")).head()[0] == 80_000
+
+
+def test_minhash_leaves_no_signatures_nor_sets_on_disk(spark):
+    """The tables that stay are what the result reads: some bytes a document, where a signature alone has 512."""
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.hash(i, F.col("id") - F.col("id") % 2))).alias("text"))
+    before = _tables(spark)
+    found = minhash.near_duplicates(docs)
+    assert sum(f.stat().st_size for t in _tables(spark) - before for f in t.rglob("*.parquet")) < 300 * 2_000
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(i, i - i % 2) for i in range(2_000)}
+
+
 def test_pipeline_keeps_one_of_repeated_rows(spark):
     """With ids that repeat and without ids; rows are counted, as a dict by doc_id would hide the copies."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
