@@ -121,6 +121,15 @@ def test_minhash_leaves_no_signatures_nor_sets_on_disk(spark):
     assert {(r.doc_id, r.component_id) for r in found.collect()} == {(i, i - i % 2) for i in range(2_000)}
 
 
+def test_a_stage_of_the_pipeline_goes_when_the_next_is_written(spark, monkeypatch, tmp_path):
+    rows = [(i, "text", "en", "s", 4) for i in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(i), lambda _, docs, __, i=i: docs.where(F.col("doc_id") != i)) for i in range(5)])
+    before = _tables(spark)
+    mixed = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(_tables(spark) - before) == 1 and sorted(r.doc_id for r in mixed.collect()) == [5, 6, 7, 8, 9]
+
+
 def test_pipeline_keeps_one_of_repeated_rows(spark):
     """With ids that repeat and without ids; rows are counted, as a dict by doc_id would hide the copies."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
